@@ -11,13 +11,15 @@ Candidates are not expanded into all pairs of a band's bucket:
 1. Documents with equal sets form one class; its smallest doc_id stands for all.
 2. Each document is held against the smallest document of its buckets, one pair a document.
 3. Then against the smallest document of each of its buckets, unless they are linked already.
-4. In buckets that still hold more than one component, all pairs across components are
-   held against each other. Buckets over ``CROWD`` documents are first split by the
-   members' other bands, level by level: linked documents share about a third of their
-   bands, unrelated ones that met by chance don't meet again. No bucket is capped.
+4. In buckets that still hold more than one component, pairs across components are held
+   against each other, first by their signatures, then by their sets. Where a bucket would
+   give more than ``CROWD`` pairs a document it is first split by the members' other bands,
+   level by level: linked documents share about a third of their bands, unrelated ones that
+   met by chance don't meet again. No bucket is capped.
 
 With 32 bands of 5 rows a pair at similarity 0.8 is missed with probability 3e-6, at 0.85
-with 2e-8. Links are decided exactly, ``100 * intersection >= percent * union``, on sets
+with 2e-8; a signature that agrees in less than ``HOPELESS`` of its coordinates rules a pair out
+in step 4 (at similarity 0.8 with probability 1e-7). Links are decided exactly, ``100 * intersection >= percent * union``, on sets
 of 64-bit shingle hashes (two different shingles of one pair coincide with probability 1e-13).
 """
 
@@ -32,8 +34,9 @@ from pyspark.sql import functions as F
 from .common import components, is_empty, mix64, shingle_set, written
 
 BANDS, ROWS = 32, 5
-#: Buckets above this are split by a further band before their pairs are formed.
+#: Buckets with more pairs a document than this are split by a further band, LEVELS times at most.
 CROWD, LEVELS = 48, 3
+HOPELESS = 0.6
 _BLOCK = 1024
 
 
@@ -62,15 +65,17 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _signatures(batches, n: int, bands: int, rows: int):
     for batch in batches:
-        size, key, keys = [], [], []
+        size, key, keys, short = [], [], [], []
         for text in batch.column(1).cast(pa.binary()).to_pylist():
             s = shingle_set((text or b"").lower().split(), n)
             size.append(len(s))
             key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            keys.append(band_keys(signature(s, bands * rows), bands, rows) if len(s) else None)
+            sig = signature(s, bands * rows) if len(s) else None
+            keys.append(band_keys(sig, bands, rows) if len(s) else None)
+            short.append(sig.astype(np.uint8).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "set_key", "bands"],
+            [batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())],
+            ["doc_id", "n_shingles", "set_key", "bands", "short"],
         )
 
 
@@ -103,35 +108,53 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(lambda it: _confirm(it, percent), "a long, b long")
 
 
+def _promising(batches):
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            keep.append((p == q).mean() >= HOPELESS)
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _hopeful(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Pairs (a, b) without those whose signatures (a byte a coordinate) rule a link out."""
+    x = heads.select(F.col("doc_id").alias("a"), F.col("short").alias("x"))
+    y = heads.select(F.col("doc_id").alias("b"), F.col("short").alias("y"))
+    both = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
+    return both.mapInArrow(_promising, "a long, b long").distinct()
+
+
 def _labelled(frame: DataFrame, labels: DataFrame, column: str, out: str) -> DataFrame:
     known = labels.select(F.col("node").alias(column), F.col("root").alias(out))
     return frame.join(known, column, "left").withColumn(out, F.coalesce(out, column))
 
 
-def _across(members: DataFrame, bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs across components that share a bucket, not yet tested (b is no bucket's smallest)."""
+def _across(members: DataFrame, heads: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components that share a bucket and may be links."""
     open_ = _labelled(members.select("key", "doc", "n"), labels, "doc", "root")
     found = None
     for level in range(LEVELS + 1):
-        mixed = open_.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        mixed = mixed.filter("lo < hi").select("key", "size")
+        groups = open_.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key")
+        mixed = groups.agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("inside"))
+        mixed = mixed.filter("inside < size * size").select(
+            "key", (F.lit(level < LEVELS) & (F.expr("(size * size - inside) / 2") > F.col("size") * CROWD)).alias("crowd")
+        )
         open_ = written(open_.join(mixed, "key"), "open")
-        small = open_ if level == LEVELS else open_.filter(F.col("size") <= CROWD)
-        x, y = small.alias("x"), small.alias("y")
+        few = open_.filter(~F.col("crowd"))
+        x, y = few.alias("x"), few.alias("y")
         pairs = x.join(
             y,
             (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root"))
-            & (F.col("x.n") * 100 >= F.col("y.n") * 80) & (F.col("y.n") * 100 >= F.col("x.n") * 80),
+            & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent),
         ).select(F.greatest("x.doc", "y.doc").alias("b"), F.least("x.doc", "y.doc").alias("a"))
         found = pairs if found is None else found.union(pairs)
-        if level == LEVELS:
-            break
-        crowd = open_.filter(F.col("size") > CROWD)
+        crowd = open_.filter("crowd")
         if is_empty(crowd):
             break
-        more = bands.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("other"))
+        more = heads.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("other"))
         open_ = crowd.join(more, "doc").filter("other != key").select(F.xxhash64("key", "other").alias("key"), "doc", "n", "root")
-    return found.distinct()
+    return _hopeful(found.distinct(), heads)
 
 
 def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -150,14 +173,14 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, bands: i
     docs = docs.select("doc_id", "text")
     sig = written(
         docs.mapInArrow(
-            lambda it: _signatures(it, ngram, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"
+            lambda it: _signatures(it, ngram, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>, short binary"
         ),
         "signatures",
     )
     sets_of = sig.filter("set_key is not null and doc_id is not null")
     classes = written(sets_of.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     heads = sets_of.join(classes, "set_key").filter("doc_id = rep").dropDuplicates(["doc_id", "set_key"])
-    heads = written(heads.select("doc_id", "n_shingles", "bands"), "heads")
+    heads = written(heads.select("doc_id", "n_shingles", "bands", "short"), "heads")
     banded = heads.select(F.explode("bands").alias("key"), F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
     buckets = banded.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).filter("hub < last")
     members = written(banded.join(buckets.select("key", "hub"), "key"), "members")
@@ -179,7 +202,7 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, bands: i
         second = written(_linked(rest, sets, percent), "second")
         near = first.union(second)
         labels = written(components(near, "a", "b"), "labels")
-        across = _across(members, heads, labels)
+        across = written(_across(members, heads, labels, percent), "across")
         third = written(_linked(across, sets, percent), "third")
         links += [near, third]
     all_links = links[0]
