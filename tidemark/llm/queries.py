@@ -4,16 +4,60 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import digests, hostile
 from .common import read
+from .decontaminate import find_leaks
+from .fingerprint import fingerprint_edits
+from .language_id import identify
 from .near_dedup import near_duplicates
+from .secret_scan import scan
+from .substring_dedup import remove_repeats
+from .url_filter import RULES, judge, rule_table
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), ngram=4, percent=80)
 
 
-ORACLE: dict[str, str] = {}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read(spark, sf_dir, "pages"), rule_table(spark, RULES))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeats(read(spark, sf_dir, "documents"), window=35, texts=False)
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(read(spark, sf_dir, "documents"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return digests(turns.union(hostile(spark)))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "documents"))
+
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_language_id": op3_language_id,
+    "op4_url_filter": op4_url_filter,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_chat_format": op7_chat_format,
+    "op8_decontamination": op8_decontamination,
+    "op9_secret_scan": op9_secret_scan,
 }
+
+ORACLE: dict[str, str] = {}
