@@ -8,9 +8,11 @@ from .chat_format import digests, hostile
 from .common import read
 from .decontaminate import find_leaks
 from .fingerprint import fingerprint_edits
+from .importance import resample
 from .language_id import identify
 from .near_dedup import near_duplicates
 from .secret_scan import scan
+from .sentencepiece_codec import encoded_documents
 from .substring_dedup import remove_repeats
 from .url_filter import RULES, judge, rule_table
 
@@ -19,6 +21,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), ngram=4, percent=80)
 
 
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
@@ -49,8 +55,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_importance_resampling": op2_importance_resampling,
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
     "op5_substring_dedup": op5_substring_dedup,
@@ -58,6 +69,7 @@ QUERIES = {
     "op7_chat_format": op7_chat_format,
     "op8_decontamination": op8_decontamination,
     "op9_secret_scan": op9_secret_scan,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE: dict[str, str] = {}
