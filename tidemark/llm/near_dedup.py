@@ -9,13 +9,15 @@ in a band are candidates; candidates are confirmed on their full shingle sets.
 Candidates are not expanded into all pairs of a band's bucket:
 
 1. Documents with equal sets form one class; its smallest doc_id stands for all.
-2. Each document is held against the smallest document of its buckets, one pair a document.
-3. Then against the smallest document of each of its buckets, unless they are linked already.
-4. In buckets that still hold more than one component, pairs across components are held
-   against each other, first by their signatures, then by their sets. Where a bucket would
-   give more than ``CROWD`` pairs a document it is first split by the members' other bands,
-   level by level: linked documents share about a third of their bands, unrelated ones that
-   met by chance don't meet again. No bucket is capped.
+2. Shingles that only one candidate has can't be shared: with n shingles, own of them its own, a
+   document overlaps another in n - own at most. Documents that so can't reach the threshold
+   with anything (texts that share a passage only, for one) go.
+3. Each document is held against the most central document (least share of own shingles) of its
+   buckets, one pair a document; then against that of each of its buckets, unless linked already.
+4. In buckets that still hold more than one component, pairs across components are held against
+   each other, if their signatures and a bound like that of step 2 allow a link: two documents
+   overlap in their shingles that are not rare (in at most three documents), and in the rare
+   ones that they share, which are counted exactly. No bucket is capped.
 
 With 32 bands of 5 rows a pair at similarity 0.8 is missed with probability 3e-6, at 0.85
 with 2e-8; a signature that agrees in less than ``HOPELESS`` of its coordinates rules a pair out
@@ -34,8 +36,6 @@ from pyspark.sql import functions as F
 from .common import components, is_empty, mix64, shingle_set, written
 
 BANDS, ROWS = 32, 5
-#: Buckets with more pairs a document than this are split by a further band, LEVELS times at most.
-CROWD, LEVELS = 48, 3
 HOPELESS = 0.6
 _BLOCK = 1024
 
@@ -130,31 +130,60 @@ def _labelled(frame: DataFrame, labels: DataFrame, column: str, out: str) -> Dat
     return frame.join(known, column, "left").withColumn(out, F.coalesce(out, column))
 
 
-def _across(members: DataFrame, heads: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _shingles(batches):
+    """(shingle, doc) of every set."""
+    for batch in batches:
+        found = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in found])
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(docs)], ["shingle", "doc"])
+
+
+def _rare(sets: DataFrame) -> DataFrame:
+    """A written table of the shingles that at most three documents have: their documents, in order."""
+    each = sets.mapInArrow(_shingles, "shingle long, doc long")
+    few = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.bit_xor("doc").alias("all"))
+    middle = F.col("all").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
+    docs = F.when(F.col("c") == 1, F.array("lo")).when(F.col("c") == 2, F.array("lo", "hi")).otherwise(F.array(F.col("lo"), middle, F.col("hi")))
+    return written(few.filter("c <= 3").select(docs.alias("docs")).groupBy("docs").agg(F.count("*").alias("times")), "rare")
+
+
+def _own(rare: DataFrame, sets: DataFrame) -> DataFrame:
+    """doc, own, rare: how many of its shingles no other document has, and two others at most; none for a doc_id of several texts."""
+    each = rare.select(F.explode("docs").alias("doc"), F.size("docs").alias("c"), "times").groupBy("doc")
+    texts = sets.groupBy(F.col("doc_id").alias("doc")).agg(F.count("*").alias("texts")).filter("texts > 1")
+    counts = each.agg(F.sum(F.when(F.col("c") == 1, F.col("times")).otherwise(0)).alias("own"), F.sum("times").alias("rare"))
+    return counts.join(texts, "doc", "left_anti")
+
+
+def _shared(rare: DataFrame) -> DataFrame:
+    """(p_x, p_y, shared) of documents, p_x before p_y, that have rare shingles in common."""
+    at = lambda i, j: F.struct(F.get("docs", F.lit(i)).alias("x"), F.get("docs", F.lit(j)).alias("y"))
+    pairs = F.filter(F.array(at(0, 1), at(0, 2), at(1, 2)), lambda p: p["y"].isNotNull() & (p["x"] < p["y"]))
+    return rare.select(F.explode(pairs).alias("p"), "times").groupBy(F.col("p.x").alias("p_x"), F.col("p.y").alias("p_y")).agg(F.sum("times").alias("shared"))
+
+
+def _may_link(most, x: str, y: str, percent: int):
+    """Whether an overlap of ``most`` besides rare shingles, and the sizes, allow a link."""
+    return 100 * most >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n") - most)
+
+
+def _across(members: DataFrame, rare: DataFrame, heads: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) across components that share a bucket and may be links."""
-    open_ = _labelled(members.select("key", "doc", "n"), labels, "doc", "root")
-    found = None
-    for level in range(LEVELS + 1):
-        groups = open_.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key")
-        mixed = groups.agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("inside"))
-        mixed = mixed.filter("inside < size * size").select(
-            "key", (F.lit(level < LEVELS) & (F.expr("(size * size - inside) / 2") > F.col("size") * CROWD)).alias("crowd")
-        )
-        open_ = written(open_.join(mixed, "key"), "open")
-        few = open_.filter(~F.col("crowd"))
-        x, y = few.alias("x"), few.alias("y")
-        pairs = x.join(
-            y,
-            (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root"))
-            & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent),
-        ).select(F.greatest("x.doc", "y.doc").alias("b"), F.least("x.doc", "y.doc").alias("a"))
-        found = pairs if found is None else found.union(pairs)
-        crowd = open_.filter("crowd")
-        if is_empty(crowd):
-            break
-        more = heads.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("other"))
-        open_ = crowd.join(more, "doc").filter("other != key").select(F.xxhash64("key", "other").alias("key"), "doc", "n", "root")
-    return _hopeful(found.distinct(), heads)
+    rows = _labelled(members.select("key", "doc", "n", "rare"), labels, "doc", "root")
+    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    rows = written(rows.join(mixed, "key"), "open")
+    most = F.least(F.col("x.n") - F.col("x.rare"), F.col("y.n") - F.col("y.rare"))
+    # those that would be links without a rare shingle in common
+    x, y = rows.alias("x"), rows.alias("y")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _may_link(most, "x", "y", percent)
+    pairs = x.join(y, met).select(F.greatest("x.doc", "y.doc").alias("b"), F.least("x.doc", "y.doc").alias("a"))
+    # and those that have some
+    docs = rows.select("doc", "n", "rare", "root").distinct()
+    both = _shared(rare).join(docs.alias("x"), F.col("p_x") == F.col("x.doc")).join(docs.alias("y"), F.col("p_y") == F.col("y.doc"))
+    both = both.filter((F.col("x.root") != F.col("y.root")) & _may_link(most + F.col("shared"), "x", "y", percent))
+    pairs = pairs.union(both.select(F.col("y.doc").alias("b"), F.col("x.doc").alias("a")))
+    return _hopeful(pairs.distinct(), heads)
 
 
 def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -182,27 +211,31 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, bands: i
     heads = sets_of.join(classes, "set_key").filter("doc_id = rep").dropDuplicates(["doc_id", "set_key"])
     heads = written(heads.select("doc_id", "n_shingles", "bands", "short"), "heads")
     banded = heads.select(F.explode("bands").alias("key"), F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
-    buckets = banded.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).filter("hub < last")
-    members = written(banded.join(buckets.select("key", "hub"), "key"), "members")
-
     # equal sets under several doc_ids are links already; rows of one doc_id join its classes
     same = sets_of.join(classes, "set_key").filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = [same]
+    several = lambda rows: rows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("key")
+    members = written(banded.join(several(banded), "key"), "members")
     if not is_empty(members):
         needed = members.select(F.col("doc").alias("doc_id")).distinct()
         sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, ngram), "doc_id long, shingles binary")
         sets = written(sets.filter(F.octet_length("shingles") > 0).dropDuplicates(["doc_id", "shingles"]), "sets")
-
-        stars = members.filter("doc != hub")
-        first = stars.groupBy("doc").agg(F.min("hub").alias("a")).withColumnRenamed("doc", "b")
-        first = written(_linked(first.select("a", "b"), sets, percent), "first")
+        rare = _rare(sets)
+        members = members.join(_own(rare, sets), "doc", "left").fillna(0, ["own", "rare"])
+        members = written(members.filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent), "members")
+        central = F.struct((F.col("own") / F.col("n")).alias("share"), "doc")
+        hubs = members.groupBy("key").agg(F.min(central).alias("hub"), F.max(central).alias("last")).filter("hub.doc != last.doc")
+        stars = members.join(hubs.select("key", "hub"), "key").filter("doc != hub.doc").select("doc", "hub")
+
+        first = stars.groupBy("doc").agg(F.min("hub").alias("hub")).select(F.col("hub.doc").alias("a"), F.col("doc").alias("b"))
+        first = written(_linked(first, sets, percent), "first")
         tied = first.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        rest = stars.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
+        rest = stars.select(F.col("hub.doc").alias("a"), F.col("doc").alias("b")).distinct()
         rest = _labelled(_labelled(rest, tied, "a", "ra"), tied, "b", "rb").filter("ra != rb").select("a", "b")
         second = written(_linked(rest, sets, percent), "second")
         near = first.union(second)
         labels = written(components(near, "a", "b"), "labels")
-        across = written(_across(members, heads, labels, percent), "across")
+        across = written(_across(members, rare, heads, labels, percent), "across")
         third = written(_linked(across, sets, percent), "third")
         links += [near, third]
     all_links = links[0]
