@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 1. Every item's n-grams (``SEED`` words) are counted over the corpus, by documents that hold them.
-2. An item's seeds are its rarer n-grams: those no more frequent than its median one. So an item
-   that is copied everywhere, or made of common phrases only, keeps seeds too.
+2. An item's seeds are its rarer n-grams: of those that occur at all, the three quarters that the
+   fewest documents hold (with ties). So an item that is copied everywhere, or made of common
+   phrases only, keeps seeds too, and so does one with a single edited copy.
 3. Seeds join documents with items; around the hits of an item, the passage with a margin of the
    item's own length is aligned word by word (match 2, mismatch and gap -1, local). A passage
    leaks an item if the score reaches ``THRESHOLD`` of what the whole item would score.
@@ -71,24 +72,19 @@ class Items:
         self.sizes = sorted({min(SEED, len(w)) for w in self.words if len(w)})
 
     def rare(self, counts: dict[int, int]) -> Items:
-        """Only the seeds: of each item the n-grams up to its median frequency."""
-        often = np.array([counts.get(int(g.view(np.int64)), 0) for g in self.grams])
+        """Only the seeds: of each item's n-grams that occur, those up to the third quartile of frequency."""
+        often = np.array([counts.get(g, 0) for g in self.grams.view(np.int64).tolist()], np.int64)
+        order = np.lexsort((often, self.items))
+        order = order[often[order] > 0]
+        bounds = np.searchsorted(self.items[order], np.arange(len(self.ids) + 1))
         keep = np.zeros(len(self.grams), bool)
-        for at in range(len(self.ids)):
-            mine = self.items == at if len(self.ids) < 64 else None
-            where = np.flatnonzero(mine) if mine is not None else self._places[at]
-            if len(where):
-                keep[where] = often[where] <= np.median(often[where])
+        for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            mine = order[first:last]
+            if len(mine):
+                keep[mine] = often[mine] <= often[mine[(3 * len(mine) - 1) // 4]]
         self.grams, self.items = self.grams[keep], self.items[keep]
         return self
 
-    @property
-    def _places(self) -> list[np.ndarray]:
-        if not hasattr(self, "_split"):
-            order = np.argsort(self.items, kind="stable")
-            self._split = np.split(order, np.searchsorted(self.items[order], np.arange(1, len(self.ids))))
-        return self._split
-
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, first index into grams) of each n-gram of a text that some item has."""
         where, index = [], []
@@ -148,13 +144,12 @@ def _texts(batch) -> list[bytes]:
 
 def _count(batches, items):
     """(gram, documents that hold it), summed over a partition."""
-    items, counts = items.value, {}
+    items = items.value
     total = np.zeros(len(items.grams), np.int64)
     for batch in batches:
         for text in _texts(batch):
             total[np.unique(items.hits(_words(text)[0])[1])] += 1
     some = np.flatnonzero(total)
-    del counts
     yield pa.RecordBatch.from_arrays([pa.array(items.grams[some].view(np.int64)), pa.array(total[some])], ["gram", "n"])
 
 
