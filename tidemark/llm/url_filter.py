@@ -47,13 +47,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     rules: host, path, verdict. A rule fits its host and all subdomains if the path starts with
     the rule's. Of the fitting rules the longest (host and path together) wins; of equally long
     ones the longer host, then block before allow. ``rule`` is its host and path, else null;
-    ``verdict`` the rule's, else ``default``. Rules with a null host or path fit nothing.
+    ``verdict`` the rule's, else ``default``. Rules with a null or empty host, or a null path, fit nothing.
     A null URL or one without ``://`` has empty host and path; rows and ids repeat as given.
     An empty table of rules leaves every URL to the default.
     """
     host, path = split_url(F.col("url"))
     pages = pages.select("page_id", "url").withColumns({"host": host, "path": path})
-    rules = rules.filter("host is not null and path is not null and verdict is not null")
+    rules = rules.filter("host != '' and path is not null and verdict is not null")
     rules = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("said")).distinct()
     counted = rules.agg(F.count("*").alias("n"), F.collect_set(F.length("rule_path")).alias("lengths")).first()
     expression = F.concat_ws("\n", "rule_host", "rule_path")
