@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as X
 from ..functions.parsing import DIRECTORY, SUBMODULE, Malformed, parse_commit, parse_tree
 from ..operators import history as H
+from ..operators.lineage import written
 from ..sources.datasource import read_objects
 
 COMMIT = "oid string, tree string, parents array<string>, author_name string, author_email string, time bigint, offset_minutes int, summary string"
@@ -99,9 +100,9 @@ def tree_changes(pairs: DataFrame, entries: DataFrame) -> DataFrame:
     in a full outer join, equal ones drop out, so only what differs is looked at. A folder that
     exists on both sides must be readable; one that came or went whole is skipped if it isn't.
     """
-    known = entries.select(F.col("tree_oid").alias("tree")).distinct().persist()
+    known = written(entries.select(F.col("tree_oid").alias("tree")).distinct(), "trees")
     mine = entries.filter("name is not null").select("tree_oid", "name", "segment", "mode", "oid")
-    frontier = pairs.filter("not (old <=> new)").select("root", F.lit("").alias("prefix"), "old", "new").persist()
+    frontier = written(pairs.filter("not (old <=> new)").select("root", F.lit("").alias("prefix"), "old", "new"), "frontier")
     found, key = None, ["root", "prefix", "name"]
     while frontier.take(1):
         needed = frontier.filter("new is not null and (old is not null or prefix = '')").select(F.explode(F.array_compact(F.array("old", "new"))).alias("tree"))
@@ -113,7 +114,7 @@ def tree_changes(pairs: DataFrame, entries: DataFrame) -> DataFrame:
         both = side("old").join(side("new"), key, "full_outer")
         both = both.filter("not (old_oid <=> new_oid and old_mode <=> new_mode)")
         path = F.concat("prefix", F.coalesce("new_segment", "old_segment"))
-        both = both.select("root", path.alias("path"), "old_mode", "old_oid", "new_mode", "new_oid").persist()
+        both = written(both.select("root", path.alias("path"), "old_mode", "old_oid", "new_mode", "new_oid"), "level")
         old_dir, new_dir = F.coalesce(_is_dir("old_mode"), F.lit(False)), F.coalesce(_is_dir("new_mode"), F.lit(False))
         file = lambda s: F.col(f"{s}_mode").isNotNull() & ~_is_dir(f"{s}_mode")
         plain = lambda s: file(s) & (F.col(f"{s}_mode") != SUBMODULE)
@@ -131,7 +132,7 @@ def tree_changes(pairs: DataFrame, entries: DataFrame) -> DataFrame:
         below = F.concat("path", F.lit("/"))
         frontier = both.filter(old_dir | new_dir).select(
             "root", below.alias("prefix"), F.when(old_dir, F.col("old_oid")).alias("old"), F.when(new_dir, F.col("new_oid")).alias("new")
-        ).persist()
+        )
     empty = pairs.sparkSession.createDataFrame([], "root string, path string, kind string, content_oid string")
     return empty if found is None else found
 
@@ -149,18 +150,19 @@ def snapshot(tree: str, entries: DataFrame, blobs: DataFrame) -> DataFrame:
 
 def read_history(spark: SparkSession, path: str, tip: str, since: int | None = None, include_merges: bool = False, broad: int = H.BROAD) -> H.History:
     """History from a commit on, and the files at it."""
-    objects = read_objects(spark, path, "commit,tree").persist()
-    commits, entries = parse_commits(objects).persist(), parse_trees(objects).persist()
+    commits = written(parse_commits(read_objects(spark, path, "commit")), "commits")
+    entries = written(parse_trees(read_objects(spark, path, "tree")), "entries")
     known = {r.oid: (r.parents, r.author_name, r.author_email, r.time) for r in commits.select("oid", "parents", "author_name", "author_email", "time").toLocalIterator()}
     walked = walk(known, tip, since, include_merges)
     order = spark.createDataFrame(walked.rows, "oid string, walk_seq bigint, author_idx bigint")
     kept = commits.join(order, "oid")
     parents = commits.select(F.col("oid").alias("first"), F.col("tree").alias("old"))
     kept = kept.withColumn("first", F.get("parents", F.lit(0))).join(parents, "first", "left").withColumnRenamed("tree", "new")
-    kept = kept.withColumn("root", F.concat_ws(":", F.coalesce("old", F.lit("")), "new")).persist()
+    kept = kept.withColumn("root", F.concat_ws(":", F.coalesce("old", F.lit("")), "new"))
+    kept = written(kept, "kept")
     events = tree_changes(kept.select("root", "old", "new").distinct(), entries)
-    raw = kept.select(F.col("oid").alias("commit_oid"), "root").join(events, "root").drop("root").persist()
-    changes = H.collapse_renames(raw).persist()
+    raw = written(kept.select(F.col("oid").alias("commit_oid"), "root").join(events, "root").drop("root"), "events")
+    changes = written(H.collapse_renames(raw), "changes")
     rows = kept.select(
         F.col("oid").alias("commit_oid"), "time", "author_idx", (F.size("parents") > 1).alias("is_merge"), "summary", "walk_seq"
     )
@@ -168,10 +170,10 @@ def read_history(spark: SparkSession, path: str, tip: str, since: int | None = N
     if not tree:
         raise Malformed(f"commit {tip} is missing")
     return H.History(
-        commits=H.mark_broad(rows, changes, broad).persist(),
+        commits=written(H.mark_broad(rows, changes, broad), "history"),
         changes=changes,
         authors=spark.createDataFrame(walked.authors, "author_idx bigint, email string, name string"),
-        snapshot=snapshot(tree[0], entries, read_objects(spark, path, "blob")).persist(),
+        snapshot=written(snapshot(tree[0], entries, read_objects(spark, path, "blob")), "snapshot"),
         paths_ever=raw.select("path").distinct(),
         unreadable=walked.unreadable,
     )
@@ -179,5 +181,6 @@ def read_history(spark: SparkSession, path: str, tip: str, since: int | None = N
 
 def verify(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
     """(objects, those whose contents hash to another id: oid, actual), loose and packed ones alike."""
-    objects = read_objects(spark, path).select("oid", X.object_id(F.col("kind"), F.col("data")).alias("actual")).persist()
+    objects = read_objects(spark, path).select("oid", X.object_id(F.col("kind"), F.col("data")).alias("actual"))
+    objects = written(objects, "ids")
     return objects.count(), objects.filter("oid != actual")
