@@ -11,6 +11,7 @@ from .fingerprint import fingerprint_edits
 from .importance import resample
 from .language_id import identify
 from .near_dedup import near_duplicates
+from .oracle import ORACLE as ORACLE
 from .secret_scan import scan
 from .sentencepiece_codec import encoded_documents
 from .substring_dedup import remove_repeats
@@ -72,4 +73,4 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE: dict[str, str] = {}
+
