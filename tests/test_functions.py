@@ -73,6 +73,15 @@ def test_object_ids_and_measures(spark):
     assert [tuple(r) for r in rows.collect()] == [(parsing.object_id("blob", d), *w) for d, w in zip(data, want)]
 
 
+def test_display_path_and_adler(spark):
+    from tidemark.functions import udfs
+
+    paths = ["\\\\?\\C:\\x", "\\\\?\\UNC\\host\\x", "/usr/x", "C:\\y", None]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").select(X.display_path(F.col("p")), udfs.adler32(F.col("p").cast("binary"))).collect()
+    assert [r[0] for r in rows] == ["C:\\x", "\\\\host\\x", "/usr/x", "C:\\y", None]
+    assert [r[1] for r in rows] == [None if p is None else zlib.adler32(p.encode()) for p in paths]
+
+
 def test_scalars(spark):
     paths = spark.createDataFrame([("src/a/b.rs", "README.md"), ("a/b", "a/c")], "a string, b string")
     rows = paths.select(X.top_level(F.col("a")), X.top_level(F.col("b")), X.crosses_directories(F.col("a"), F.col("b"))).collect()

@@ -67,3 +67,16 @@ def csv_field(text: Column) -> Column:
     """Quoted where a comma, a quote or a line break asks for it, quotes doubled."""
     quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.when(F.regexp(text, F.lit('[,"\n\r]')), quoted).otherwise(text)
+
+
+def json_string(text: Column) -> Column:
+    """A JSON string: quotes, backslashes and the controls that have letters escaped."""
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    return F.concat(F.lit('"'), text, F.lit('"'))
+
+
+def display_path(path: Column) -> Column:
+    """A Windows path without its verbatim prefix; a verbatim share keeps its two backslashes."""
+    share = F.regexp_replace(path, r"^\\\\\?\\UNC\\", r"\\\\")
+    return F.when(share != path, share).otherwise(F.regexp_replace(path, r"^\\\\\?\\", ""))

@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
-from ..functions import dates, globs, width
-from ..functions import parsing
+from ..functions import dates, globs, parsing, udfs, width
 from ..operators import history as H
 from ..operators import reports as R
 
@@ -328,3 +327,29 @@ query("severity_bucket", _base() + f"hot AS ({'{}'}) SELECT path, CASE WHEN scor
 query("short_id", "SELECT DISTINCT left(sha1(source), 7) AS short FROM documents")(
     lambda s, d: table(s, d, "documents").select(X.short_id(F.sha1(F.col("source").cast("binary"))).alias("short")).distinct()
 )
+query("truncate_start", f"WITH {_FILES} SELECT path, CASE WHEN length(path) <= 18 THEN path ELSE '…' || right(path, 17) END AS short FROM files")(
+    lambda s, d: files(s, d).select("path", udfs.truncate_start(F.col("path"), 18).alias("short"))
+)
+query("json_escape", """SELECT doc_id, '"' || replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || '"' AS field FROM documents""")(
+    lambda s, d: table(s, d, "documents").select("doc_id", X.json_string(F.col("text")).alias("field"))
+)
+query("inflate_roundtrip", "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, sha1(text) AS digest FROM documents")(
+    lambda s, d: table(s, d, "documents").select("doc_id", udfs.inflate(udfs.deflate(F.col("text").cast("binary"))).alias("data")).select(
+        "doc_id", F.octet_length("data").cast("long").alias("bytes"), F.sha1("data").alias("digest")
+    )
+)
+
+
+def _delta(data):
+    """A delta, for bases of up to 127 bytes, that inserts an exclamation mark before a copy of the whole base."""
+    n = F.octet_length(data)
+    byte = lambda x: F.unhex(F.lpad(F.hex(x), 2, "0"))
+    return F.concat(byte(n), byte(n + 1), F.lit(bytearray(b"\x01!\x90")), byte(n))
+
+
+query("apply_delta", f"WITH {_FILES} SELECT path, sha1('!' || path) AS digest FROM files")(
+    lambda s, d: files(s, d).select("path", F.sha1(udfs.apply_delta(F.col("path").cast("binary"), _delta(F.col("path").cast("binary")))).alias("digest"))
+)
+query("padded", f"WITH {_FILES} SELECT path, lpad(path, CAST(greatest(40, length(path)) AS INTEGER), ' ') AS cell FROM files")(
+    lambda s, d: files(s, d).select("path", udfs.pad(F.col("path"), 40, right=True).alias("cell"))
+)
