@@ -16,7 +16,7 @@ Candidates are not expanded into all pairs of a band's bucket:
    buckets, one pair a document; then against that of each of its buckets, unless linked already.
 4. In buckets that still hold more than one component, pairs across components are held against
    each other, if their signatures and a bound like that of step 2 allow a link: two documents
-   overlap in their shingles that are not rare (in at most three documents), and in the rare
+   overlap in their shingles that are not rare (in at most ``RARE`` documents), and in the rare
    ones that they share, which are counted exactly. No bucket is capped.
 
 With 32 bands of 5 rows a pair at similarity 0.8 is missed with probability 3e-6, at 0.85
@@ -37,6 +37,8 @@ from .common import components, is_empty, mix64, shingle_set, written
 
 BANDS, ROWS = 32, 5
 HOPELESS = 0.6
+#: A shingle in so many candidates at most is rare; it gives at most RARE * RARE / 2 pairs.
+RARE = 8
 _BLOCK = 1024
 
 
@@ -140,16 +142,17 @@ def _shingles(batches):
 
 
 def _rare(sets: DataFrame) -> DataFrame:
-    """A written table of the shingles that at most three documents have: their documents, in order."""
+    """A written table of the shingles that at most RARE documents have: their documents, and how many shingles have just those."""
     each = sets.mapInArrow(_shingles, "shingle long, doc long")
-    few = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.bit_xor("doc").alias("all"))
-    middle = F.col("all").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
-    docs = F.when(F.col("c") == 1, F.array("lo")).when(F.col("c") == 2, F.array("lo", "hi")).otherwise(F.array(F.col("lo"), middle, F.col("hi")))
-    return written(few.filter("c <= 3").select(docs.alias("docs")).groupBy("docs").agg(F.count("*").alias("times")), "rare")
+    counts = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc").alias("doc"))
+    alone = counts.filter("c = 1").select(F.array("doc").alias("docs"))
+    few = counts.filter(F.col("c").between(2, RARE)).select("shingle")
+    few = each.join(few, "shingle").groupBy("shingle").agg(F.sort_array(F.collect_list("doc")).alias("docs")).select("docs")
+    return written(alone.union(few).groupBy("docs").agg(F.count("*").alias("times")), "rare")
 
 
 def _own(rare: DataFrame, sets: DataFrame) -> DataFrame:
-    """doc, own, rare: how many of its shingles no other document has, and two others at most; none for a doc_id of several texts."""
+    """doc, own, rare: how many of its shingles no other document has, and how many are rare; none for a doc_id of several texts."""
     each = rare.select(F.explode("docs").alias("doc"), F.size("docs").alias("c"), "times").groupBy("doc")
     texts = sets.groupBy(F.col("doc_id").alias("doc")).agg(F.count("*").alias("texts")).filter("texts > 1")
     counts = each.agg(F.sum(F.when(F.col("c") == 1, F.col("times")).otherwise(0)).alias("own"), F.sum("times").alias("rare"))
@@ -158,8 +161,8 @@ def _own(rare: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _shared(rare: DataFrame) -> DataFrame:
     """(p_x, p_y, shared) of documents, p_x before p_y, that have rare shingles in common."""
-    at = lambda i, j: F.struct(F.get("docs", F.lit(i)).alias("x"), F.get("docs", F.lit(j)).alias("y"))
-    pairs = F.filter(F.array(at(0, 1), at(0, 2), at(1, 2)), lambda p: p["y"].isNotNull() & (p["x"] < p["y"]))
+    after = lambda x, i: F.filter(F.slice("docs", i + 2, RARE), lambda y: x < y)
+    pairs = F.flatten(F.transform("docs", lambda x, i: F.transform(after(x, i), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     return rare.select(F.explode(pairs).alias("p"), "times").groupBy(F.col("p.x").alias("p_x"), F.col("p.y").alias("p_y")).agg(F.sum("times").alias("shared"))
 
 
