@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes
+from .common import gram_hashes, modest_batches
 from .hashing import PUNCTUATION, Words
 
 SEED = 3
@@ -168,6 +168,7 @@ def _clean(batches, items, threshold: float):
 def _blocks(docs: DataFrame, benchmark: DataFrame):
     """The seeds of each block of items, broadcast."""
     spark = docs.sparkSession
+    modest_batches(spark)
     items = benchmark.select("item_id", "text").filter("text is not null and text != ''")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 + total // BLOCK_CHARS

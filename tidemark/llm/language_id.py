@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import modest_batches
+
 BUCKETS = 1 << 15
 GRAMS = 3
 #: The model has a row of BUCKETS counts for each language; more languages are refused.
@@ -129,6 +131,7 @@ def fit(docs: DataFrame) -> Model:
 
     They are at most BUCKETS numbers a language; over MOST_LANGUAGES languages raise ValueError.
     """
+    modest_batches(docs.sparkSession)
     known = docs.select("text", "lang").filter("lang is not null")
     counts = known.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("row"))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, is_empty, mix64, shingle_set, written
+from .common import components, is_empty, mix64, modest_batches, shingle_set, written
 
 BANDS, ROWS = 32, 5
 HOPELESS = 0.6
@@ -202,6 +202,7 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, bands: i
     nothing: component_id null, kept true. Other columns are ignored, whatever their names.
     An empty table gives no rows.
     """
+    modest_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sig = written(
         docs.mapInArrow(

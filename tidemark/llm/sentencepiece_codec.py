@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import modest_batches
+
 #: Where the public tokenizers lie; a parameter of every function, this is its default.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Units that each of a Python worker's two memories holds, some 250 bytes each.
-REMEMBER = 200_000
+REMEMBER = 130_000
 #: Models up to this many pieces are sent to executors; larger ones are refused.
 MOST_PIECES = 1_000_000
 #: Scores of pieces that only the normaliser's rules may use; they say nothing of how likely a piece is.
@@ -218,6 +220,7 @@ class _Shipped:
 
 
 def _ship(frame: DataFrame, model: str) -> _Shipped:
+    modest_batches(frame.sparkSession)
     cast = frame.sparkSession.sparkContext.broadcast(Pieces.load(model))  # MOST_PIECES at most
     return _Shipped(id(cast), cast)
 
