@@ -69,3 +69,12 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert find_leaks(docs, items).count() == 1 and find_leaks(docs.limit(0), items).count() == 0
     assert find_leaks(docs, items.limit(0)).count() == 0 and without_leaks(docs, items.limit(0)).count() == 1
+
+
+def test_a_verbatim_copy_takes_no_seeds_from_edited_ones(spark):
+    words = [f"w{k}" for k in range(42)]
+    edited = [f"x{k}" if k % 4 == 3 else w for k, w in enumerate(words)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    for copies in (0, 1, 5):
+        docs = spark.createDataFrame([(0, " ".join(edited)), *((k + 1, " ".join(words)) for k in range(copies))], "doc_id long, text string")
+        assert {r.doc_id: round(r.score, 2) for r in find_leaks(docs, items).collect()} == {0: 0.64} | {k + 1: 1.0 for k in range(copies)}

@@ -1,9 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 1. Every item's n-grams (``SEED`` words) are counted over the corpus, by documents that hold them.
-2. An item's seeds are its rarer n-grams: of those that occur at all, the three quarters that the
-   fewest documents hold (with ties). So an item that is copied everywhere, or made of common
-   phrases only, keeps seeds too, and so does one with a single edited copy.
+2. An item's seeds are all of its n-grams that occur. None is dropped for being frequent: copies of
+   an item make its n-grams frequent, and those that survive in edited copies the most.
 3. Seeds join documents with items; around the hits of an item, the passage with a margin of the
    item's own length is aligned word by word (match 2, mismatch and gap -1, local). A passage
    leaks an item if the score reaches ``THRESHOLD`` of what the whole item would score.
@@ -72,16 +71,8 @@ class Items:
         self.sizes = sorted({min(SEED, len(w)) for w in self.words if len(w)})
 
     def rare(self, counts: dict[int, int]) -> Items:
-        """Only the seeds: of each item's n-grams that occur, those up to the third quartile of frequency."""
-        often = np.array([counts.get(g, 0) for g in self.grams.view(np.int64).tolist()], np.int64)
-        order = np.lexsort((often, self.items))
-        order = order[often[order] > 0]
-        bounds = np.searchsorted(self.items[order], np.arange(len(self.ids) + 1))
-        keep = np.zeros(len(self.grams), bool)
-        for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            mine = order[first:last]
-            if len(mine):
-                keep[mine] = often[mine] <= often[mine[(3 * len(mine) - 1) // 4]]
+        """Only the seeds: the n-grams that occur in some document."""
+        keep = np.array([counts.get(g, 0) > 0 for g in self.grams.view(np.int64).tolist()], bool)
         self.grams, self.items = self.grams[keep], self.items[keep]
         return self
 
