@@ -3,7 +3,7 @@
 import hashlib
 import re
 
-from tidemark.llm.secret_scan import redact, scan
+from tidemark.llm.secret_scan import COPIED_OWNERS, redact, scan
 
 BASE = [
     ("assign", re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 1, 12),
@@ -49,3 +49,16 @@ def test_copied_examples_stay_and_live_ones_go(spark):
     text = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert text[0] == (f"doc 0 {example}", 1) and text[10] == (None, 1)
     assert text[9] == ("mine token=[SECRET] here token=[SECRET]", 39)
+
+
+def test_many_owners_in_one_repository_make_a_copied_example(spark):
+    pasted, opaque, mine = "token=PASTEDPASTED1234", "Xy9" * 12, "token=q9w8e7r6t5y4u3i2"
+    rows = [(i, f"doc {i} {pasted} {opaque}", "hot") for i in range(COPIED_OWNERS)] + [(1000 + i, f"doc {i} {mine}", "hot") for i in range(COPIED_OWNERS - 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in scan(docs).collect()}
+    assert (got[0].n_live, got[0].n_copied, got[0].n_added, got[0].most_owners) == (0, 1, 0, COPIED_OWNERS)
+    assert (got[1000].n_live, got[1000].n_copied, got[1000].most_owners) == (1, 0, COPIED_OWNERS - 1)
+    text = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert text[0] == rows[0][1] and text[1000] == "doc 0 token=[SECRET]"
+    alone = {r.doc_id: r for r in scan(docs, copied_owners=None).collect()}
+    assert (alone[0].n_live, alone[0].n_copied, alone[0].n_added) == (2, 0, 1)

@@ -2,8 +2,8 @@
 
 Candidates are found in each text by patterns. Each candidate value's hash is aggregated over
 the corpus: in how many repositories (sources) and under how many owners (documents) it is found.
-A value that many repositories hold is a widely copied example; one that stays with few is
-owner-specific and looks live. Besides the patterns' own spans, opaque tokens (24 or more
+A value that several repositories hold, or many owners however few their repositories, is a widely
+copied example; one that stays with few of both is owner-specific and looks live. Besides the patterns' own spans, opaque tokens (24 or more
 letters, digits, ``-`` and ``_`` with upper and lower case and digits) count as secrets where the
 frequencies say that they are owner-specific; by their looks alone they would not.
 """
@@ -26,6 +26,8 @@ KINDS = [
 BASE = ("assign", "access", "hex")
 #: A value in this many repositories is a widely copied example.
 COPIED = 3
+#: A value under this many owners is one too, though it stay within one or two repositories.
+COPIED_OWNERS = 50
 
 
 def _matches(text: Column, rank: int) -> Column:
@@ -74,19 +76,23 @@ def _found(docs: DataFrame, repo: str, owner: str) -> DataFrame:
     return written(rows.withColumn("found", hashed), "secrets")
 
 
-def frequencies(found: DataFrame) -> DataFrame:
-    """For each candidate hash: n_repos, n_owners (distinct, nulls not counted), live."""
+def frequencies(found: DataFrame, copied_owners: int | None = COPIED_OWNERS) -> DataFrame:
+    """For each candidate hash: n_repos, n_owners (distinct, nulls not counted), live.
+
+    copied_owners: from how many owners on a value is a copied example; None: repositories alone decide.
+    """
     each = found.select(F.explode("found.hash").alias("hash"), "repo", "owner").distinct()
     repos = each.select("hash", "repo").distinct().groupBy("hash").agg(F.count("repo").alias("n_repos"))
     owners = each.select("hash", "owner").distinct().groupBy("hash").agg(F.count("owner").alias("n_owners"))
-    return repos.join(owners, "hash").withColumn("live", F.col("n_repos") < COPIED)
+    few = F.lit(True) if copied_owners is None else F.col("n_owners") < copied_owners
+    return repos.join(owners, "hash").withColumn("live", (F.col("n_repos") < COPIED) & few)
 
 
-def _judged(found: DataFrame) -> DataFrame:
+def _judged(found: DataFrame, copied_owners: int | None) -> DataFrame:
     """For each text (key) with candidates: spans, its base spans and the live opaque ones, each with n_repos, n_owners, live."""
     texts = found.filter(F.size("found") > 0).groupBy("key").agg(F.first("found").alias("found"))
     each = texts.select("key", F.explode("found").alias("x")).select("key", "x.*")
-    each = each.join(frequencies(found), "hash")
+    each = each.join(frequencies(found, copied_owners), "hash")
     spans = each.groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct("start", "rank", "end", "size", "hash", "n_repos", "n_owners", "live"))).alias("all")
     )
@@ -95,13 +101,14 @@ def _judged(found: DataFrame) -> DataFrame:
     return spans.select("key", F.filter("all", lambda x: (x["rank"] < len(BASE)) | (x["live"] & apart(x))).alias("judged"))
 
 
-def scan(docs: DataFrame, repo: str = "source", owner: str = "doc_id") -> DataFrame:
-    """For each row of docs (doc_id, text, repo, owner): doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added, n_live, n_copied.
+def scan(docs: DataFrame, repo: str = "source", owner: str = "doc_id", copied_owners: int | None = COPIED_OWNERS) -> DataFrame:
+    """For each row of docs (doc_id, text, repo, owner): doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added, n_live, n_copied, most_owners.
 
     Places are code points, ends exclusive. base_sha256 digests the base kinds' kind:start:end, by
     start, then kind, comma-joined; ``spans`` lists them with the added ones in the same form. n_live
-    and n_copied count the listed values by their corpus-wide frequency. Null texts count as empty; rows
-    with a null repository or owner count towards no frequency; repeated rows come back as they are.
+    and n_copied count the listed values by their corpus-wide frequency; most_owners is the largest
+    number of owners of a listed value, 0 without one. copied_owners as in ``frequencies``. Null texts count
+    as empty; null repositories and null owners aren't counted; repeated rows come back as they are.
     An empty table gives no rows; other columns are ignored.
     """
     found = _found(docs, repo, owner)
@@ -110,22 +117,24 @@ def scan(docs: DataFrame, repo: str = "source", owner: str = "doc_id") -> DataFr
     nothing = F.lit(0).cast("long")
     rows = found.select("key", "doc_id", *(number(i).alias(f"n_{k}") for i, k in enumerate(BASE)), F.sha2(_spans(base), 256).alias("base_sha256"))
     count = lambda f: F.coalesce(F.size(F.filter("judged", f)).cast("long"), nothing)
-    return rows.join(_judged(found), "key", "left").select(
+    most = F.coalesce(F.array_max(F.transform("judged", lambda x: x["n_owners"])), nothing)
+    return rows.join(_judged(found, copied_owners), "key", "left").select(
         "doc_id", *(f"n_{k}" for k in BASE), "base_sha256", F.coalesce(_spans(F.col("judged")), F.lit("")).alias("spans"),
         F.when(F.col("judged").isNull(), nothing).otherwise(count(lambda x: x["rank"] >= len(BASE))).alias("n_added"),
         F.when(F.col("judged").isNull(), nothing).otherwise(count(lambda x: x["live"])).alias("n_live"),
         F.when(F.col("judged").isNull(), nothing).otherwise(count(lambda x: ~x["live"])).alias("n_copied"),
+        most.alias("most_owners"),
     )
 
 
-def redact(docs: DataFrame, repo: str = "source", owner: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, repo: str = "source", owner: str = "doc_id", mark: str = "[SECRET]", copied_owners: int | None = COPIED_OWNERS) -> DataFrame:
     """docs with live-looking values in text replaced by mark, n_chars (if there is one) counted anew; columns as given.
 
     Widely copied examples stay as they are, and so do null texts and all rows.
     """
     found = _found(docs, repo, owner)
     live = F.sort_array(F.transform(F.filter("judged", lambda x: x["live"]), lambda x: F.struct((x["end"] - x["size"]).alias("a"), x["end"].alias("b"))))
-    marks = _judged(found).select(F.col("key").alias("__key"), live.alias("__cuts")).filter(F.size("__cuts") > 0)
+    marks = _judged(found, copied_owners).select(F.col("key").alias("__key"), live.alias("__cuts")).filter(F.size("__cuts") > 0)
     text = F.col("text")
     cut = F.aggregate(
         "__cuts", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
