@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tidemark.llm.decontaminate import THRESHOLD, _words, align, find_leaks, without_leaks
+from tidemark.llm.decontaminate import THRESHOLD, Items, _words, align, find_leaks, without_leaks
 
 
 def smith_waterman(a, b):
@@ -78,3 +78,40 @@ def test_a_verbatim_copy_takes_no_seeds_from_edited_ones(spark):
     for copies in (0, 1, 5):
         docs = spark.createDataFrame([(0, " ".join(edited)), *((k + 1, " ".join(words)) for k in range(copies))], "doc_id long, text string")
         assert {r.doc_id: round(r.score, 2) for r in find_leaks(docs, items).collect()} == {0: 0.64} | {k + 1: 1.0 for k in range(copies)}
+
+
+def test_edits_in_every_three_words(spark):
+    words = [f"w{k}" for k in range(40)]
+    docs = [
+        (0, [f"x{k}" if k % 3 == 2 else w for k, w in enumerate(words)]), (1, [y for k, w in enumerate(words) for y in ([w, f"x{k}"] if k % 2 else [w])]),
+        (2, [y for k, w in enumerate(words) for y in (w, f"x{k}")]), (3, words), (4, words[:19]), (5, words[::-1]), (6, ["pre"] * 200 + words[20:] + ["post"] * 200),
+    ]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "one two three"), (3, "w39")], "item_id long, text string")
+    left = spark.createDataFrame([*((d, " ".join(w)) for d, w in docs), (7, "two, three"), (8, "three two")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, round(r.score, 2)) for r in find_leaks(left, items).collect() if r.item_id != 3)
+    assert got == [(0, 1, 0.51), (1, 1, 0.76), (2, 1, 0.51), (3, 1, 1.0), (6, 1, 0.5), (7, 2, 0.67)]
+    assert sorted(r.doc_id for r in without_leaks(left, items).collect()) == [4, 8]
+
+
+def test_no_alignment_is_lost():
+    rng = random.Random(8)
+    for threshold in (0.3, 0.5, 0.75, 1.0):
+        for _ in range(40):
+            vocabulary = [f"w{k}" for k in range(rng.choice([6, 30, 300]))]
+            items = [(i, [rng.choice(vocabulary) for _ in range(rng.randrange(1, 25))]) for i in range(4)]
+            docs = [[rng.choice(vocabulary) for _ in range(rng.randrange(60))] for _ in range(4)]
+            for _, words in items * 3:
+                copy, share = [], rng.random() * 0.6
+                for w in words:
+                    copy += [w] if rng.random() > share else rng.choice([[], ["x"], [w, "x"], [w, "x", "x"], ["x", w]])
+                docs.append(["y"] * rng.randrange(30) + copy + [rng.choice(vocabulary) for _ in range(rng.randrange(30))])
+            texts = [" ".join(d).encode() for d in docs]
+            block = Items([(i, " ".join(w).encode()) for i, w in items], threshold)
+            counts = {}
+            for t in texts:
+                for g in set(block.grams[block.hits(_words(t)[0])[1]].view(np.int64).tolist()):
+                    counts[g] = counts.get(g, 0) + 1
+            block.rare(counts)
+            for d, t in zip(docs, texts, strict=True):
+                scores = [(i, smith_waterman(w, d) / (2 * len(w))) for i, w in items]
+                assert [(i, s) for i, s, _, _ in block.leaks(t)] == [x for x in scores if x[1] >= threshold]

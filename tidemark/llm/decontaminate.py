@@ -1,11 +1,20 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-1. Every item's n-grams (``SEED`` words) are counted over the corpus, by documents that hold them.
-2. An item's seeds are all of its n-grams that occur. None is dropped for being frequent: copies of
-   an item make its n-grams frequent, and those that survive in edited copies the most.
-3. Seeds join documents with items; around the hits of an item, the passage with a margin of the
-   item's own length is aligned word by word (match 2, mismatch and gap -1, local). A passage
-   leaks an item if the score reaches ``THRESHOLD`` of what the whole item would score.
+"""Benchmark decontamination: seeds of word pairs, then Smith-Waterman alignment.
+
+1. A seed is a pair of an item's neighbouring words; a document has it where the two stand side by
+   side or with one word between. Every item's seeds are counted over the corpus, by documents.
+2. Each edit of a copy costs score, so an alignment that reaches ``THRESHOLD`` keeps a number of the
+   item's pairs, ``Items.need``, within a number of words, ``Items.width``. A document is compared
+   with an item only where it has so many; no alignment that reaches the threshold is lost. The most
+   frequent pairs are left out and the number lowered by as many, so that it stays 1 at least.
+3. The passages around such hits are aligned with the item word by word (match 2, mismatch and gap
+   -1, local). A passage leaks an item if the score reaches ``THRESHOLD`` of what the whole item
+   would score.
+
+With n words, a least score c and k words of the item unmatched, matches are n - k and edits at most
+2 (n - k) - c. An unmatched word costs an edit and breaks two pairs, or at an end none and one; a pair
+of matched words is broken by two inserted words. So at most 2 (2 n - c) / 3 pairs are broken. Where
+no pair need be left (three words or fewer, or a low threshold) the seeds are single words, of which
+c / 2 are matched. Matches and edits are 3 n - c at most, which is the width.
 
 Words are runs of letters and digits, lower-cased in ASCII. The items are sent to executors in
 blocks of at most ``BLOCK_CHARS`` characters; each block takes a pass over the documents.
@@ -13,6 +22,8 @@ blocks of at most ``BLOCK_CHARS`` characters; each block takes a pass over the d
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +32,6 @@ from pyspark.sql import functions as F
 from .common import gram_hashes, modest_batches
 from .hashing import PUNCTUATION, Words
 
-SEED = 3
 THRESHOLD = 0.5
 BLOCK_CHARS = 16_000_000
 _words = Words(PUNCTUATION, fold=True)
@@ -59,76 +69,101 @@ def align(item: np.ndarray, passage: np.ndarray, stop: float = 0.0) -> tuple[int
 
 
 class Items:
-    """A block of test items with their n-grams, sorted, as one lookup."""
+    """A block of test items with their seeds, sorted, as one lookup."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, bytes]], threshold: float = THRESHOLD):
         self.ids = [i for i, _ in items]
         self.words = [_words(t)[0] for _, t in items]
-        pairs = [(g, at) for at, w in enumerate(self.words) for g in np.unique(gram_hashes(w, min(SEED, len(w)) or 1))]
-        order = np.argsort(np.array([g for g, _ in pairs], np.uint64), kind="stable")
-        self.grams = np.array([g for g, _ in pairs], np.uint64)[order]
-        self.items = np.array([at for _, at in pairs], np.int64)[order]
-        self.sizes = sorted({min(SEED, len(w)) for w in self.words if len(w)})
+        self.least = [math.ceil(threshold * 2 * len(w)) for w in self.words]
+        size = np.array([len(w) for w in self.words], np.int64)
+        least = np.array(self.least, np.int64)
+        pairs = size - 1 - 2 * (2 * size - least) // 3
+        self.single = pairs < 1
+        self.need = np.where(self.single, np.maximum(1, (least + 1) // 2), pairs)
+        self.width = 3 * size - least
+        grams, owners, times = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at, w in enumerate(self.words):
+            own, n = np.unique(gram_hashes(w, 1 if self.single[at] else 2), return_counts=True)
+            grams.append(own)
+            owners.append(np.full(len(own), at))
+            times.append(n)
+        order = np.argsort(np.concatenate(grams), kind="stable")
+        self._keep(*(np.concatenate(x)[order] for x in (grams, owners, times)))
+
+    def _keep(self, grams: np.ndarray, items: np.ndarray, times: np.ndarray) -> None:
+        self.grams, self.items, self.times = grams, items, times
+        self.runs = np.searchsorted(grams, grams, "right") - np.arange(len(grams))
 
     def rare(self, counts: dict[int, int]) -> Items:
-        """Only the seeds: the n-grams that occur in some document."""
-        keep = np.array([counts.get(g, 0) > 0 for g in self.grams.view(np.int64).tolist()], bool)
-        self.grams, self.items = self.grams[keep], self.items[keep]
+        """Only the seeds that occur, and of these up to half of what need allows left out, the most frequent first."""
+        often = np.array([counts.get(g, 0) for g in self.grams.view(np.int64).tolist()], np.int64)
+        order = np.lexsort((-often, self.items))
+        bounds = np.searchsorted(self.items[order], np.arange(len(self.ids) + 1))
+        keep = often > 0
+        for at, (first, last) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            mine = order[first:last]
+            lost = np.cumsum(self.times[mine])  # no alignment has lost more pairs than that
+            out = int(np.searchsorted(lost, (self.need[at] - 1) // 2, "right"))
+            if out:
+                keep[mine[:out]] = False
+                self.need[at] -= lost[out - 1]
+        self._keep(self.grams[keep], self.items[keep], self.times[keep])
         return self
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, first index into grams) of each n-gram of a text that some item has."""
-        where, index = [], []
-        for n in self.sizes:
-            grams = gram_hashes(words, n)
-            if len(grams) and len(self.grams):
-                at = np.searchsorted(self.grams, grams)
-                at[at == len(self.grams)] = 0
-                found = np.flatnonzero(self.grams[at] == grams)
-                where.append(found)
-                index.append(at[found])
-        if not where:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+        """(position, first index into grams) of each seed that a text has; a pair's position is its first word's."""
+        found = [(gram_hashes(words, 2), 0, 1), (gram_hashes(words[::2], 2), 0, 2), (gram_hashes(words[1::2], 2), 1, 2)]
+        if self.single.any():
+            found.append((gram_hashes(words, 1), 0, 1))
+        where, index = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for grams, first, step in found if len(self.grams) else ():
+            at = np.searchsorted(self.grams, grams)
+            at[at == len(self.grams)] = 0
+            some = np.flatnonzero(self.grams[at] == grams)
+            where.append(first + step * some)
+            index.append(at[some])
         return np.concatenate(where), np.concatenate(index)
 
-    def leaks(self, text: bytes, threshold: float) -> list[tuple[int, float, int, int]]:
+    def passages(self, words: np.ndarray) -> dict[int, list[list[int]]]:
+        """For each item (its place), the passages [first, last) that can hold an alignment of the least score."""
+        where, index = self.hits(words)
+        runs = self.runs[index]
+        entry = np.repeat(index - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+        item, at = np.divmod(np.unique(self.items[entry] * len(words) + np.repeat(where, runs)), max(1, len(words)))
+        end = np.arange(len(item)) + self.need[item] - 1
+        inside = np.flatnonzero(end < len(item))
+        end = end[inside]
+        near = (item[end] == item[inside]) & (at[end] - at[inside] < self.width[item[inside]])
+        inside, end = inside[near], end[near]
+        width = self.width[item[inside]]
+        first, last = np.maximum(0, at[end] + 1 - width), np.minimum(len(words), at[inside] + width)
+        out: dict[int, list[list[int]]] = {}
+        for k, a, b in zip(item[inside].tolist(), first.tolist(), last.tolist(), strict=True):
+            mine = out.setdefault(k, [])
+            if mine and a <= mine[-1][1]:
+                mine[-1][1] = b
+            else:
+                mine.append([a, b])
+        return out
+
+    def leaks(self, text: bytes) -> list[tuple[int, float, int, int]]:
         """(item, score, first, last) for each item that the text leaks, its best passage in words."""
         words = _words(text)[0]
-        where, index = self.hits(words)
-        near: dict[int, list[int]] = {}
-        for position, at in zip(where.tolist(), index.tolist(), strict=True):
-            gram = self.grams[at]
-            while at < len(self.grams) and self.grams[at] == gram:
-                near.setdefault(int(self.items[at]), []).append(position)
-                at += 1
         out = []
-        for at, positions in sorted(near.items()):
-            item = self.words[at]
-            most, best = 2 * len(item), (0, 0, 0)
-            for first, last in _regions(sorted(positions), len(item), len(words)):
+        for at, passages in self.passages(words).items():
+            item, least, best = self.words[at], self.least[at], (0, 0, 0)
+            for first, last in passages:
                 part = words[first:last]
-                if 2 * int(np.isin(item, part).sum()) < threshold * most:
+                if 2 * int(np.isin(item, part).sum()) < least:
                     continue  # even with all common words in order the score stays below
                 score, a, b = align(item, part)
                 if score > best[0]:
                     best = (score, first + a, first + b)
-            if best[0] >= threshold * most:
-                out.append((self.ids[at], best[0] / most, best[1], best[2]))
+            if best[0] >= least:
+                out.append((self.ids[at], best[0] / (2 * len(item)), best[1], best[2]))
         return out
 
 
-def _regions(positions: list[int], n: int, total: int) -> list[tuple[int, int]]:
-    """Passages of n words (and some) before and after each position, merged where they overlap."""
-    out: list[list[int]] = []
-    for p in positions:
-        a, b = max(0, p - n - SEED), min(total, p + n + SEED)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
 def _texts(batch) -> list[bytes]:
     return [t or b"" for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
 
@@ -144,19 +179,19 @@ def _count(batches, items):
     yield pa.RecordBatch.from_arrays([pa.array(items.grams[some].view(np.int64)), pa.array(total[some])], ["gram", "n"])
 
 
-def _leaks(batches, items, threshold: float):
+def _leaks(batches, items):
     for batch in batches:
-        rows = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), _texts(batch), strict=True) for x in items.value.leaks(t, threshold)]
+        rows = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), _texts(batch), strict=True) for x in items.value.leaks(t)]
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "score", "first", "last"])
 
 
-def _clean(batches, items, threshold: float):
+def _clean(batches, items):
     for batch in batches:
-        yield batch.filter(pa.array([not items.value.leaks(t, threshold) for t in _texts(batch)], pa.bool_()))
+        yield batch.filter(pa.array([not items.value.leaks(t) for t in _texts(batch)], pa.bool_()))
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame):
+def _blocks(docs: DataFrame, benchmark: DataFrame, threshold: float):
     """The seeds of each block of items, broadcast."""
     spark = docs.sparkSession
     modest_batches(spark)
@@ -165,7 +200,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame):
     n = 1 + total // BLOCK_CHARS
     for k in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct().collect() if n > 1 else items.distinct().collect()
-        block = Items(sorted(((r.item_id, r.text.encode()) for r in rows), key=lambda r: (r[0] is None, r)))
+        block = Items(sorted(((r.item_id, r.text.encode()) for r in rows), key=lambda r: (r[0] is None, r)), threshold)
         if not len(block.grams):
             continue
         shipped = spark.sparkContext.broadcast(block)
@@ -183,8 +218,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """
     schema = "doc_id long, item_id long, score double, first long, last long"
     out = None
-    for seeds in _blocks(docs, benchmark):
-        part = docs.select("doc_id", "text").mapInArrow(lambda it, s=seeds: _leaks(it, s, threshold), schema)
+    for seeds in _blocks(docs, benchmark, threshold):
+        part = docs.select("doc_id", "text").mapInArrow(lambda it, s=seeds: _leaks(it, s), schema)
         out = part if out is None else out.union(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -192,6 +227,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that leak an item; columns as given."""
     out = docs
-    for seeds in _blocks(docs, benchmark):
-        out = out.mapInArrow(lambda it, s=seeds: _clean(it, s, threshold), docs.schema)
+    for seeds in _blocks(docs, benchmark, threshold):
+        out = out.mapInArrow(lambda it, s=seeds: _clean(it, s), docs.schema)
     return out
