@@ -18,7 +18,7 @@ from tidemark.llm.sentencepiece_codec import encoded_documents
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told, for want of a text or of any letter, go."""
+    """Documents whose language can't be told, for want of a text or of any letter, go; a missing lang is filled in."""
     return keep_identified(docs)
 
 

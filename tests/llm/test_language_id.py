@@ -41,3 +41,14 @@ def test_odd_rows(spark):
 def test_one_language(spark):
     model = fit(spark.createDataFrame([("ein hund", "de")], "text string, lang string"))
     assert isinstance(model, Model) and model.predict("was auch immer")[:2] == ("de", 1.0) and model.predict("7")[0] == "und"
+
+
+def test_predictions_fill_missing_languages(spark):
+    rows = [(i, "the cat and the dog", "en") for i in range(6)] + [(i, "der hund und die katze", "de") for i in range(6, 12)]
+    rows += [(i, "la casa blanca " * 2000, ("es", "it")[i % 2]) for i in range(30, 42)]
+    rows += [(20, "the dog", None), (21, "die katze und der hund", None), (22, "the dog", "de"), (23, "la casa", None), (24, "?", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    said = {r.doc_id: r for r in identify(docs).collect()}
+    assert said[23].ambiguous and not said[20].ambiguous and not said[21].ambiguous
+    got = {r.doc_id: r.lang for r in keep_identified(docs).collect()}
+    assert got == {i: lang for i, _, lang in rows if not 20 <= i < 30} | {20: "en", 21: "de", 22: "de", 23: None}

@@ -187,14 +187,20 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def _determined(batches, model):
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-        yield batch.filter(pa.array([model.value.predict(t)[0] != UNDETERMINED for t in texts], pa.bool_()))
+        said = [model.value.predict(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+        at = batch.schema.get_field_index("lang")
+        given = batch.column(at).to_pylist()
+        lang = [said_lang if known is None and not ambiguous else known for known, (said_lang, _, ambiguous, _) in zip(given, said, strict=True)]
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(lang, batch.schema.field(at).type))
+        yield batch.filter(pa.array([x[0] != UNDETERMINED for x in said], pa.bool_()))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs without the rows whose language can't be told (no text or no letter); columns as given.
 
-    Ambiguous texts stay. If no row has a language to learn from, nothing can be rejected and all stay.
+    Where lang is null the predicted language is written into it, unless that is ambiguous; given
+    languages and ambiguous texts stay as they are. If no row has a language to learn from, nothing
+    can be predicted or rejected and all stay.
     """
     model = fit(docs.filter(~held_out()))
     if not model.languages:
