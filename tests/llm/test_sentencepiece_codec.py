@@ -3,6 +3,7 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,13 +62,39 @@ def test_round_trip(text):
     assert codec().decode(codec().encode(text).tolist()) == text
 
 
-def test_small_memory_gives_the_same(monkeypatch):
+def test_units_together_are_units_alone(monkeypatch):
     import tidemark.llm.sentencepiece_codec as M
 
-    text = " ".join(f"word{i} thing" for i in range(300))
-    want = codec().encode(text).tolist()
-    monkeypatch.setattr(M, "REMEMBER", 5)
-    assert M.Codec(codec().pieces).encode(text).tolist() == want
+    rng = random.Random(3)
+    pool = ["thing", "Straße", "日本語", "🎉", "▁", "\x00", "\n", "é", "zq", "  ", "\u0378"]
+    texts = [" ".join("".join(rng.choice(pool) for _ in range(rng.randrange(9))) for _ in range(rng.randrange(30))) for _ in range(60)]
+    texts += ["", None, " ", "   ", "a" * 500, "\n" * 40]
+    together = codec().encode_all(pa.array(texts))
+    monkeypatch.setattr(M, "SHORT", -1)
+    assert together.to_pylist() == codec().encode_all(pa.array(texts)).to_pylist()
+    assert [None if x is None else x.decode() for x in codec().decode_all(together).to_pylist()] == texts
+    part = pa.array(texts).slice(7, 20)
+    assert codec().decode_all(codec().encode_all(part).slice(3, 9)).to_pylist() == [t.encode() for t in texts[10:19]]
+
+
+def test_bytes_that_are_no_text_are_restored():
+    raw = [b"ab \xff\xfe cd", b"\xe6\x97 x", "é".encode()[:1]]
+    assert codec().decode_all(codec().encode_all(pa.array(raw, pa.binary()))).to_pylist() == raw
+
+
+def test_ids_of_a_unigram_model_are_the_library_s():
+    """A small model written by hand; the library's unigram encoder maximises the same total score."""
+    from tokenizers import Tokenizer
+    from tokenizers.models import Unigram
+
+    rng = random.Random(9)
+    texts = ["<unk>", *(f"<0x{b:02X}>" for b in range(256)), SPACE, *"abcde", *sorted({"".join(rng.choice("abcde") for _ in range(rng.randrange(2, 6))) for _ in range(60)}), SPACE + "ab", SPACE + "c"]
+    scores = [0.0 if k < 257 else -1 - 9 * rng.random() for k in range(len(texts))]
+    own = Codec(Pieces(texts, scores, [k > 256 for k in range(len(texts))], list(range(1, 257))))
+    theirs = Tokenizer(Unigram(list(zip(texts, scores)), unk_id=0, byte_fallback=True))
+    for _ in range(400):
+        text = "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 40)))
+        assert own.encode(text).tolist() == theirs.encode(SPACE + text).ids
 
 
 def test_frames(spark):
@@ -81,3 +108,6 @@ def test_frames(spark):
     assert got[1] == (0, 0) and got[2] == (0, 0) and got[3] == (1, 1)
     assert next(r.ids for r in out if r.doc_id == 1) is None and next(r.ids for r in out if r.doc_id == 2) == []
     assert encoded_documents(docs.limit(0)).count() == 0
+    clash = docs.selectExpr("text", "'x' as ids", "1 as decoded")
+    again = decode(encode(clash))
+    assert again.columns == ["text", "ids", "decoded"] and all(r.text == r.decoded for r in again.collect())

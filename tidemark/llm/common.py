@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of texts that a Python worker turns into objects at a time.
+SLICE_BYTES = 2 << 20
+
+
+def slices(batches, column: str, most: int = SLICE_BYTES):
+    """Arrow batches cut so that the texts of column have at most so many bytes in each, or one row; as many rows, in order."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto, at = np.cumsum(sizes), 0
+        while at < len(sizes):
+            before = upto[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(upto, before + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 #: Rows that a Python worker gets at a time. Whole texts can be long: Spark's own 10,000 take a worker
 #: hundreds of MB, beside what the other workers and the JVM of an executor hold.
 BATCH_ROWS = 2000

@@ -9,8 +9,9 @@ encoding; of equal ones, that whose last piece is longest.
 Spaces are written as U+2581 and one is put before the text, as the model's normaliser does
 (identity otherwise). A U+2581 that the text itself has falls back to bytes, so that decoding
 restores every text exactly. No piece may hold a space after another character; so a text falls
-into units, each some spaces and what follows them, that are encoded alone and remembered; a
-unit is cut further between characters that are neighbours in no piece.
+into units, each some spaces and what follows them, that are encoded alone. The distinct units of
+a batch are encoded once and together, a position of all of them a step; long ones each alone, cut
+further between characters that are neighbours in no piece.
 """
 
 from __future__ import annotations
@@ -20,17 +21,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import modest_batches
+from .common import slices
 
 #: Where the public tokenizers lie; a parameter of every function, this is its default.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Units that each of a Python worker's two memories holds, some 250 bytes each.
-REMEMBER = 130_000
+#: Units of up to so many bytes are encoded together.
+SHORT = 96
+#: One more than the greatest code point.
+_CODES = 0x110000
 #: Models up to this many pieces are sent to executors; larger ones are refused.
 MOST_PIECES = 1_000_000
 #: Scores of pieces that only the normaliser's rules may use; they say nothing of how likely a piece is.
@@ -66,58 +70,75 @@ class Pieces:
 
 
 class Codec:
-    """The automaton over a vocabulary, with encoding and decoding of one text."""
+    """The automaton over a vocabulary, with encoding and decoding of texts."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.byte_of = {i: b for b, i in enumerate(pieces.bytes_)}
         scores = [s for s, u in zip(pieces.scores, pieces.usable, strict=True) if u and s > _NEVER]
         self.fallback = min(scores, default=0.0) - 10
-        #: units that were met of late, and those before them
-        self.memory: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         #: neighbouring characters that some piece has; between others a unit can be cut
         self.joined = {t[k : k + 2] for t, u in zip(pieces.texts, pieces.usable, strict=True) if u for k in range(len(t) - 1)}
-        # goto as one dict a node; ends: (length, score, id) of the piece that ends at a node
-        self.goto: list[dict[str, int]] = [{}]
+        # goto of (node, character) as one dict; ends: (length, score, id) of the piece that ends at a node
+        self.goto: dict[int, int] = {}
         ends: list[tuple[int, float, int] | None] = [None]
+        below: list[list[int]] = [[]]
         for i, text in enumerate(pieces.texts):
             if not pieces.usable[i] or not text:
                 continue
             node = 0
-            for c in text:
-                new = self.goto[node].get(c)
+            for c in map(ord, text):
+                step = node * _CODES + c
+                new = self.goto.get(step)
                 if new is None:
-                    new = self.goto[node][c] = len(self.goto)
-                    self.goto.append({})
+                    new = self.goto[step] = len(ends)
                     ends.append(None)
+                    below.append([])
+                    below[node].append(c)
                 node = new
             ends[node] = (len(text), pieces.scores[i], i)
-        self.fail = [0] * len(self.goto)
+        self.fail = [0] * len(ends)
         #: all pieces that end at a node: its own, then those along its output links, longest first
-        self.outputs: list[tuple[tuple[int, float, int], ...]] = [()] * len(self.goto)
-        line = list(self.goto[0].values())
+        self.outputs: list[tuple[tuple[int, float, int], ...]] = [()] * len(ends)
+        line = [self.goto[c] for c in below[0]]
         for node in line:
             self.outputs[node] = (ends[node],) if ends[node] else ()
         for node in line:  # breadth first: the list grows as it is read
-            for c, new in self.goto[node].items():
-                back = self.fail[node]
-                while back and c not in self.goto[back]:
+            for c in below[node]:
+                new, back = self.goto[node * _CODES + c], self.fail[node]
+                while back and back * _CODES + c not in self.goto:
                     back = self.fail[back]
-                self.fail[new] = self.goto[back].get(c, 0)
+                self.fail[new] = self.goto.get(back * _CODES + c, 0)
                 own = (ends[new],) if ends[new] else ()
                 self.outputs[new] = own + self.outputs[self.fail[new]]
                 line.append(new)
+        # the same as arrays: goto by sorted steps, each node's own piece, and the next node along its output links that has one
+        self._steps = np.array(sorted(self.goto), np.int64)
+        self._after = np.array([self.goto[k] for k in self._steps.tolist()], np.int32)
+        self._fail = np.array(self.fail, np.int32)
+        self._length, self._score, self._id = (np.array([e[k] if e else d for e in ends], kind) for k, d, kind in ((0, 0, np.int32), (1, 0.0, np.float64), (2, -1, np.int32)))
+        link = [0] * len(ends)
+        for node in line:
+            back = self.fail[node]
+            link[node] = back if ends[back] else link[back]
+        self._link = np.array(link, np.int32)
+        self._bytes = np.array(pieces.bytes_, np.int32)
+        # what each id stands for; in the second half without the space that a text's first piece begins with
+        plain = [
+            bytes([self.byte_of[i]]) if i in self.byte_of else t.replace(SPACE, " ").encode() if u else b""
+            for i, (t, u) in enumerate(zip(pieces.texts, pieces.usable, strict=True))
+        ]
+        self._surfaces = pa.array(plain + [t[1:] if t[:1] == b" " else t for t in plain], pa.binary())
 
     def viterbi(self, unit: str) -> list[int]:
         """Ids of a unit, in which spaces are U+2581 and a U+2581 of the text is _OWN."""
         goto, fail, outputs = self.goto, self.fail, self.outputs
         n, node = len(unit), 0
         best, back = [0.0] * (n + 1), [(0, -1)] * (n + 1)
-        for at, c in enumerate(unit, 1):
-            while node and c not in goto[node]:
+        for at, c in enumerate(map(ord, unit), 1):
+            while node and node * _CODES + c not in goto:
                 node = fail[node]
-            node = goto[node].get(c, 0)
+            node = goto.get(node * _CODES + c, 0)
             top, how, single = -1e300, (1, -1), False
             for length, score, i in outputs[node]:
                 total = best[at - length] + score
@@ -135,65 +156,168 @@ class Codec:
             length, i = back[at]
             if i < 0:
                 c = SPACE if unit[at - 1] == _OWN else unit[at - 1]
-                ids += [self.pieces.bytes_[b] for b in reversed(c.encode("utf-8"))]
+                ids += [self.pieces.bytes_[b] for b in reversed(c.encode("utf-8", "surrogateescape"))]
             else:
                 ids.append(i)
             at -= length
         return ids[::-1]
 
-    def _unit(self, unit: str) -> bytes:
-        """The ids of a unit that isn't in the younger memory, as bytes."""
-        found = self.older.get(unit)
-        if found is None:
-            parts, at = [], 0
-            for cut in range(1, len(unit)):
-                if unit[cut - 1 : cut + 1] not in self.joined:  # no piece goes across
-                    parts.append(unit[at:cut])
-                    at = cut
-            if parts:
-                parts.append(unit[at:])
-                found = b"".join([self.memory.get(p) or self._unit(p) for p in parts])
-            else:
-                found = np.array(self.viterbi(unit), np.int32).tobytes()
-        if len(unit) <= 64:
-            if len(self.memory) >= REMEMBER:
-                self.older, self.memory = self.memory, {}
-            self.memory[unit] = found
-        return found
+    def _go(self, node: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The nodes after reading a character each, along failure links where there is no step."""
+        new, at = np.zeros(len(node), np.int32), np.arange(len(node))
+        while len(at):
+            step = node.astype(np.int64) * _CODES + codes
+            found = np.searchsorted(self._steps, step)
+            found[found == len(self._steps)] = 0
+            hit = self._steps[found] == step
+            new[at[hit]] = self._after[found[hit]]
+            back = ~hit & (node > 0)  # at the root nothing is left to fall back to
+            at, node, codes = at[back], self._fail[node[back]], codes[back]
+        return new
+
+    def viterbi_all(self, codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``viterbi`` of many units at once, a position of all of them a step: (ids, how many each unit has).
+
+        codes: the units' characters, one after another; size: characters of each unit.
+        """
+        order = np.argsort(-size, kind="stable")
+        long = size[order]
+        begin = (np.cumsum(size) - size)[order]
+        slot = begin + order  # a unit of n characters has n + 1 places
+        best = np.zeros(len(codes) + len(size))
+        length, which = np.zeros(len(best), np.int32), np.zeros(len(best), np.int32)
+        node = np.zeros(len(size), np.int32)
+        for t in range(int(long[0]) if len(long) else 0):
+            n = int(np.searchsorted(-long, -t))  # those that go on here
+            node = self._go(node[:n], codes[begin[:n] + t])
+            place = slot[:n] + t + 1
+            top, how, piece, single = np.full(n, -1e300), np.ones(n, np.int32), np.full(n, -1, np.int32), np.zeros(n, bool)
+            at = np.where(self._id[node] >= 0, node, self._link[node])
+            some = np.flatnonzero(at)
+            at = at[some]
+            while len(some):
+                reach = self._length[at]
+                total = best[place[some] - reach] + self._score[at]
+                single[some[reach == 1]] = True
+                better = total > top[some]
+                mine = some[better]
+                top[mine], how[mine], piece[mine] = total[better], reach[better], self._id[at[better]]
+                at = self._link[at]
+                more = at > 0
+                some, at = some[more], at[more]
+            total = best[place - 1] + self.fallback
+            better = ~single & (total > top)
+            top[better], how[better], piece[better] = total[better], 1, -1
+            best[place], length[place], which[place] = top, how, piece
+        # the best path, from the end: what begins at a character is written there
+        begins, ids = np.zeros(len(codes), bool), np.zeros(len(codes), np.int32)
+        some, at = np.arange(len(size)), long.copy()
+        some, at = some[at > 0], at[at > 0]
+        while len(some):
+            place = slot[some] + at
+            at = at - length[place]
+            begins[begin[some] + at], ids[begin[some] + at] = True, which[place]
+            more = at > 0
+            some, at = some[more], at[more]
+        first = np.flatnonzero(begins)
+        ids = ids[first]
+        lost = np.flatnonzero(ids < 0)  # characters that fall back to their bytes
+        code = codes[first[lost]]
+        code = np.where(code == ord(_OWN), ord(SPACE), code)
+        wide = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+        times = np.ones(len(ids), np.int64)
+        times[lost] = wide
+        upto = np.concatenate([[0], np.cumsum(times)])
+        out = np.repeat(ids, times)
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])
+        for k in range(4):
+            some = wide > k
+            rest = code[some] >> 6 * (wide[some] - 1 - k)
+            value = rest | lead[wide[some]] if k == 0 else rest & 0x3F | 0x80
+            out[upto[lost[some]] + k] = self._bytes[value]
+        ends = np.searchsorted(first, np.cumsum(size))
+        return out, np.diff(upto[ends], prepend=0)
+
+    def _long(self, raw: bytes) -> list[int]:
+        """Ids of a unit alone, cut between characters that are neighbours in no piece."""
+        unit = raw.decode("utf-8", "surrogateescape").replace(SPACE, _OWN).replace(" ", SPACE)
+        ids, at = [], 0
+        for cut in range(1, len(unit) + 1):
+            if cut == len(unit) or unit[cut - 1 : cut + 1] not in self.joined:
+                ids += self.viterbi(unit[at:cut])
+                at = cut
+        return ids
+
+    def _units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, how many each unit has, where they begin) of distinct units: the short ones together, the others one by one."""
+        size = pc.binary_length(units).to_numpy()
+        try:
+            text = units.filter(pa.array(size <= SHORT))
+            raw = b"".join(text.to_pylist()).decode()
+            chars = pc.utf8_length(text.cast(pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
+        except (UnicodeDecodeError, pa.ArrowInvalid):  # not UTF-8
+            size = np.full(len(size), SHORT + 1)
+            raw, chars = "", np.empty(0, np.int64)
+        codes = np.frombuffer(raw.encode("utf-32-le"), np.uint32).astype(np.int64)
+        codes = np.where(codes == ord(SPACE), ord(_OWN), np.where(codes == 32, ord(SPACE), codes))
+        ids, short = self.viterbi_all(codes, chars)
+        alone = [self._long(u) for u in units.filter(pa.array(size > SHORT)).to_pylist()]
+        times = np.zeros(len(size), np.int64)
+        times[size <= SHORT], times[size > SHORT] = short, [len(x) for x in alone]
+        begin = np.zeros(len(size), np.int64)
+        found = np.concatenate([ids, *(np.array(x, np.int32) for x in alone)]).astype(np.int32)
+        begin[size <= SHORT] = np.cumsum(short) - short
+        begin[size > SHORT] = len(ids) + np.cumsum(times[size > SHORT]) - times[size > SHORT]
+        return found, times, begin
+
+    def encode_all(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of whole texts: null for null, none for an empty one.
+
+        Units are cut out of all texts at once and each distinct one is encoded once; its ids are
+        then gathered wherever it stands.
+        """
+        texts = texts.cast(pa.binary())
+        spaced = pc.binary_join_element_wise(b" ", texts, b"")
+        spaced = pc.if_else(pc.equal(pc.binary_length(texts), 0), b"", spaced).fill_null(b"")
+        ends = np.frombuffer(spaced.buffers()[1], np.int32)[spaced.offset : spaced.offset + len(spaced) + 1]
+        lists = np.zeros(len(texts) + 1, np.int32)
+        values = np.empty(0, np.int32)
+        if ends[-1] > ends[0]:
+            raw = np.frombuffer(spaced.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+            ends = ends - ends[0]
+            first = raw == 32
+            first[1:] &= raw[:-1] != 32
+            first[ends[:-1][np.diff(ends) > 0]] = True
+            starts = np.flatnonzero(first).astype(np.int32)
+            bounds = pa.py_buffer(np.append(starts, np.int32(len(raw))))
+            units = pa.Array.from_buffers(pa.binary(), len(starts), [None, bounds, pa.py_buffer(raw)]).dictionary_encode()
+            found, size, begin = self._units(units.dictionary)
+            which = units.indices.to_numpy()
+            upto = np.concatenate([[0], np.cumsum(size[which])])
+            values = found[np.repeat(begin[which] - upto[:-1], size[which]) + np.arange(upto[-1])]
+            lists = upto[np.searchsorted(starts, ends)].astype(np.int32)
+        offsets = pa.array(lists, mask=np.append(texts.is_null().to_numpy(zero_copy_only=False), False)) if texts.null_count else pa.array(lists)
+        return pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))
+
+    def decode_all(self, lists: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids, null for null; the space put before a text is taken off. Ids that stand for no text give none."""
+        offsets = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
+        ids = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int32)
+        offsets = offsets - offsets[0]
+        ids[offsets[:-1][np.diff(offsets) > 0]] += len(self.pieces.texts)
+        said = self._surfaces.take(pa.array(ids))
+        ends = np.frombuffer(said.buffers()[1], np.int32)[: len(ids) + 1][offsets] if len(ids) else np.zeros(len(offsets), np.int32)
+        valid = None
+        if lists.null_count:
+            valid = pa.py_buffer(np.packbits(lists.is_valid().to_numpy(zero_copy_only=False), bitorder="little"))
+        return pa.Array.from_buffers(pa.binary(), len(lists), [valid, pa.py_buffer(ends.astype(np.int32)), said.buffers()[2] or pa.py_buffer(b"")])
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text; none for the empty one."""
-        if not text:
-            return np.empty(0, np.int32)
-        if SPACE in text:
-            text = text.replace(SPACE, _OWN)
-        out, spaces = [], 1
-        for word in text.split(" "):
-            if not word:
-                spaces += 1
-                continue
-            unit = SPACE + word if spaces == 1 else SPACE * spaces + word
-            out.append(self.memory.get(unit) or self._unit(unit))
-            spaces = 1
-        if spaces > 1:  # the text ends with spaces
-            out.append(self._unit(SPACE * (spaces - 1)))
-        return np.frombuffer(b"".join(out), np.int32)
+        """Ids of one text."""
+        return self.encode_all(pa.array([text.encode("utf-8", "surrogatepass")], pa.binary())).values.to_numpy()
 
     def decode(self, ids) -> str:
-        """The text of ids; the space put before it is taken off. Ids that stand for no text give none."""
-        table = self._surfaces
-        raw = b"".join([table[i] for i in ids])
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
-
-    @property
-    def _surfaces(self) -> list[bytes]:
-        if not hasattr(self, "_table"):
-            p = self.pieces
-            self._table = [
-                bytes([self.byte_of[i]]) if i in self.byte_of else t.replace(SPACE, " ").encode() if p.usable[i] else b""
-                for i, t in enumerate(p.texts)
-            ]
-        return self._table
+        return self.decode_all(pa.array([list(ids)], pa.list_(pa.int32())))[0].as_py().decode("utf-8", "replace")
 
 
 #: Stands for a U+2581 of the text itself while it is encoded; Spark's texts are valid UTF-8, a lone surrogate can't be in them.
@@ -220,56 +344,73 @@ class _Shipped:
 
 
 def _ship(frame: DataFrame, model: str) -> _Shipped:
-    modest_batches(frame.sparkSession)
     cast = frame.sparkSession.sparkContext.broadcast(Pieces.load(model))  # MOST_PIECES at most
     return _Shipped(id(cast), cast)
 
 
+def _text(raw: pa.Array) -> pa.Array:
+    """Bytes as strings; what isn't UTF-8 becomes U+FFFD."""
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+
+
+def _with(batch, name: str, column: pa.Array) -> pa.RecordBatch:
+    kept = [n for n in batch.schema.names if n != name]
+    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), column], [*kept, name])
+
+
 def _encode(batches, shipped, column: str):
     codec = _codec(shipped)
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
-        ids = [None if t is None else codec.encode(t) for t in texts]
-        sizes = np.array([0 if x is None else len(x) for x in ids], np.int64)
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        values = pa.array(np.concatenate([x for x in ids if x is not None]) if sizes.any() else np.empty(0, np.int32))
-        lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.array([*(x is None for x in ids), False])) if None in texts else pa.array(offsets), values)
-        yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "ids"])
+    for batch in slices(batches, column):
+        yield _with(batch, "ids", codec.encode_all(batch.column(column)))
 
 
 def _decode(batches, shipped, column: str):
     codec = _codec(shipped)
     for batch in batches:
-        lists = batch.column(batch.schema.get_field_index(column))
-        out = [codec.decode(x.values.to_pylist()) if x.is_valid else None for x in lists]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
+        yield _with(batch, "decoded", _text(codec.decode_all(batch.column(column))))
+
+
+def _round_trip(batches, shipped):
+    codec = _codec(shipped)
+    for batch in slices(batches, "text"):
+        texts = batch.column("text").cast(pa.binary())
+        ids = codec.encode_all(texts)
+        restored = pc.fill_null(pc.equal(codec.decode_all(ids), texts), True)  # null for a null text
+        sizes = pc.cast(pc.fill_null(pc.list_value_length(ids), 0), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_chars"), sizes, ids, restored], ["doc_id", "n_chars", "n_pieces", "ids", "restored"])
+
+
+def _adding(frame: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*(f for f in frame.schema.fields if f.name != name), T.StructField(name, kind)])
 
 
 def encode(frame: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
     """frame with ids, array<int>, of the whole of column text: null for a null text, empty for an empty one.
 
-    frame must not have a column ids; others may have any names. An empty table gives no rows.
+    A column ids that frame has already is replaced; others may have any names. An empty table gives no rows.
     """
     shipped = _ship(frame, model)
-    schema = T.StructType([*frame.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return frame.mapInArrow(lambda it: _encode(it, shipped, text), schema)
+    return frame.mapInArrow(lambda it: _encode(it, shipped, text), _adding(frame, "ids", T.ArrayType(T.IntegerType())))
 
 
 def decode(frame: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
-    """frame with decoded, the text of column ids (null for null). What encode gave is restored exactly."""
+    """frame with decoded, the text of column ids (null for null). What encode gave is restored exactly.
+
+    A column decoded that frame has already is replaced. Ids must be those of pieces, none of them null.
+    """
     shipped = _ship(frame, model)
-    schema = T.StructType([*frame.schema.fields, T.StructField("decoded", T.StringType())])
-    return frame.mapInArrow(lambda it: _decode(it, shipped, ids), schema)
+    return frame.mapInArrow(lambda it: _decode(it, shipped, ids), _adding(frame, "decoded", T.StringType()))
 
 
 def encoded_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """For each row of docs (doc_id, text): doc_id, n_chars, n_pieces, ids, restored (decoding gives the text again).
+    """For each row of docs (doc_id, text): doc_id, n_chars, n_pieces, ids, restored (decoding gives the text's bytes again).
 
-    A null text has no ids (null), 0 characters and pieces, and counts as restored.
+    Texts are encoded and their ids decoded in one pass. A null text has no ids (null), 0 characters
+    and pieces, and counts as restored.
     """
-    both = decode(encode(docs.select("doc_id", "text"), "text", model), "ids", model)
-    return both.select(
-        "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"),
-        F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long").alias("n_pieces"),
-        "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("restored"),
-    )
+    shipped = _ship(docs, model)
+    rows = docs.select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    return rows.mapInArrow(lambda it: _round_trip(it, shipped), "doc_id long, n_chars long, n_pieces long, ids array<int>, restored boolean")
