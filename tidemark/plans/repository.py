@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as X
 from ..functions.parsing import DIRECTORY, SUBMODULE, Malformed, parse_commit, parse_tree
 from ..operators import history as H
-from ..operators.lineage import written
+from ..operators.lineage import mark, release, written
 from ..sources.datasource import read_objects
 
 COMMIT = "oid string, tree string, parents array<string>, author_name string, author_email string, time bigint, offset_minutes int, summary string"
@@ -149,7 +149,12 @@ def snapshot(tree: str, entries: DataFrame, blobs: DataFrame) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str, tip: str, since: int | None = None, include_merges: bool = False, broad: int = H.BROAD) -> H.History:
-    """History from a commit on, and the files at it."""
+    """History from a commit on, and the files at it.
+
+    Of the tables written on the way those that the result reads stay in the shared folder, until
+    ``lineage.release`` is called.
+    """
+    began = mark()
     commits = written(parse_commits(read_objects(spark, path, "commit")), "commits")
     entries = written(parse_trees(read_objects(spark, path, "tree")), "entries")
     known = {r.oid: (r.parents, r.author_name, r.author_email, r.time) for r in commits.select("oid", "parents", "author_name", "author_email", "time").toLocalIterator()}
@@ -169,7 +174,7 @@ def read_history(spark: SparkSession, path: str, tip: str, since: int | None = N
     tree = [r.tree for r in commits.filter(F.col("oid") == tip).select("tree").collect()]
     if not tree:
         raise Malformed(f"commit {tip} is missing")
-    return H.History(
+    history = H.History(
         commits=written(H.mark_broad(rows, changes, broad), "history"),
         changes=changes,
         authors=spark.createDataFrame(walked.authors, "author_idx bigint, email string, name string"),
@@ -177,6 +182,8 @@ def read_history(spark: SparkSession, path: str, tip: str, since: int | None = N
         paths_ever=raw.select("path").distinct(),
         unreadable=walked.unreadable,
     )
+    release(spark, began, keep=("history", "changes", "snapshot", "events"))
+    return history
 
 
 def verify(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
