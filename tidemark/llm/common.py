@@ -1,24 +1,20 @@
-"""What several operators share: reading, written tables, hashing of words, components."""
+"""What several operators share: reading, written tables, Arrow batches, hashing of words, components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators.lineage import release, shared_dir, written
 
 #: The separators of words in every contract: space and the ASCII controls 9 to 13.
 #: ``bytes.split()`` without arguments splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_made: list[str] = []
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the given tables, through Spark's reader only (the folder may be remote)."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -40,50 +36,27 @@ def slices(batches, column: str, most: int = SLICE_BYTES):
             at = to
 
 
-#: Rows that a Python worker gets at a time. Whole texts can be long: Spark's own 10,000 take a worker
-#: hundreds of MB, beside what the other workers and the JVM of an executor hold.
-BATCH_ROWS = 2000
-
+def adding(frame: DataFrame, fields: list[tuple[str, T.DataType]]) -> T.StructType:
+    """The schema of frame with these fields at its end; columns of frame that have such a name are replaced by them."""
+    new = {name for name, _ in fields}
+    return T.StructType([*(f for f in frame.schema.fields if f.name not in new), *(T.StructField(*x) for x in fields)])
 
-def modest_batches(spark: SparkSession) -> None:
-    """Lowers the rows of an Arrow batch to BATCH_ROWS, unless the session has them lower already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
 
+def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
+    """An Arrow batch in the shape of ``adding``."""
+    kept = [n for n in batch.schema.names if n not in new]
+    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *new.values()], [*kept, *new])
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the setting is missing (tests, a single machine) a local folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back.
-
-    Cuts the lineage: what is read later survives the loss of any executor. The rows are
-    computed once, where ``checkpoint()`` of an uncached frame computes them twice.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that ``written`` has made; call it once results are stored."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """Names like these that frame has no columns of (in any case)."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def is_empty(df: DataFrame) -> bool:
@@ -106,10 +79,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of every run of n words, in order; empty if there are fewer words."""
     m = len(hashes) - n + 1
@@ -122,13 +91,6 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix64(acc)
 
 
-def shingle_set(words: list[bytes], n: int) -> np.ndarray:
-    """The sorted distinct n-word shingles; with fewer words the whole sequence is the one shingle."""
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(gram_hashes(word_hashes(words), min(n, len(words))))
-
-
 # ---------------------------------------------------------------- components
 
 
@@ -165,3 +127,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("root"))
     ).distinct()
+
+
+__all__ = [
+    "WORD", "adding", "components", "fresh", "gram_hashes", "is_empty", "mix64", "read", "release", "shared_dir", "slices", "with_columns", "written",
+]

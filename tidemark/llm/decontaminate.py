@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, modest_batches
+from .common import gram_hashes, slices
 from .hashing import PUNCTUATION, Words
 
 THRESHOLD = 0.5
@@ -165,14 +165,14 @@ class Items:
 
 
 def _texts(batch) -> list[bytes]:
-    return [t or b"" for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
+    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
 def _count(batches, items):
     """(gram, documents that hold it), summed over a partition."""
     items = items.value
     total = np.zeros(len(items.grams), np.int64)
-    for batch in batches:
+    for batch in slices(batches, "text"):
         for text in _texts(batch):
             total[np.unique(items.hits(_words(text)[0])[1])] += 1
     some = np.flatnonzero(total)
@@ -180,21 +180,20 @@ def _count(batches, items):
 
 
 def _leaks(batches, items):
-    for batch in batches:
-        rows = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), _texts(batch), strict=True) for x in items.value.leaks(t)]
+    for batch in slices(batches, "text"):
+        rows = [(i, *x) for i, t in zip(batch.column("doc_id").to_pylist(), _texts(batch), strict=True) for x in items.value.leaks(t)]
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "score", "first", "last"])
 
 
 def _clean(batches, items):
-    for batch in batches:
+    for batch in slices(batches, "text"):
         yield batch.filter(pa.array([not items.value.leaks(t) for t in _texts(batch)], pa.bool_()))
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, threshold: float):
     """The seeds of each block of items, broadcast."""
     spark = docs.sparkSession
-    modest_batches(spark)
     items = benchmark.select("item_id", "text").filter("text is not null and text != ''")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 + total // BLOCK_CHARS

@@ -12,7 +12,7 @@ The least loss wins; a text whose two best languages lie closer than ``AMBIGUOUS
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import modest_batches
+from .common import adding, slices, with_columns
 
 BUCKETS = 1 << 15
 GRAMS = 3
@@ -30,6 +30,8 @@ MOST_LANGUAGES = 512
 AMBIGUOUS = 0.2
 UNDETERMINED = "und"
 _CHUNK = 1 << 18
+#: Texts (or chunks of them) whose n-grams are counted together.
+_TOGETHER = 256
 _letters: np.ndarray | None = None
 
 
@@ -112,12 +114,15 @@ class Model:
 def _count(batches):
     """Counts of each language's buckets over a partition, given out once at its end."""
     totals: dict[str, np.ndarray] = {}
-    for batch in batches:
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+    for batch in slices(batches, "text"):
+        waiting: dict[str, list[np.ndarray]] = {}
+        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
             for found in grams(text):
-                if lang not in totals:
-                    totals[lang] = np.zeros(BUCKETS, np.int64)
-                totals[lang] += np.bincount(found, minlength=BUCKETS)
+                waiting.setdefault(lang, []).append(found)
+                if len(waiting[lang]) >= _TOGETHER:  # chunks of whole texts: one count of BUCKETS numbers for many of them
+                    totals[lang] = totals.get(lang, 0) + np.bincount(np.concatenate(waiting.pop(lang)), minlength=BUCKETS)
+        for lang, found in waiting.items():
+            totals[lang] = totals.get(lang, 0) + np.bincount(np.concatenate(found), minlength=BUCKETS)
     for lang, counts in totals.items():
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
@@ -129,15 +134,14 @@ def _count(batches):
 def fit(docs: DataFrame) -> Model:
     """Learns from text and non-null lang of every row of docs (text, lang); n-gram counts only reach the driver.
 
-    They are at most BUCKETS numbers a language; over MOST_LANGUAGES languages raise ValueError.
+    They are at most BUCKETS numbers a language; over MOST_LANGUAGES languages raise ValueError, before anything is counted.
     """
-    modest_batches(docs.sparkSession)
     known = docs.select("text", "lang").filter("lang is not null")
+    if known.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     counts = known.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("row"))
-    rows = sorted(table.limit(MOST_LANGUAGES + 1).collect())
-    if len(rows) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rows = sorted(table.collect())  # MOST_LANGUAGES at most
     languages = [r.lang for r in rows]
     code = codewords(len(rows))
     share = np.zeros((len(rows), BUCKETS))
@@ -154,24 +158,23 @@ def fit(docs: DataFrame) -> Model:
     return Model(languages, code, weights, trust / trust.sum())
 
 
+_ADDED = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("ambiguous", T.BooleanType()), ("runner_up", T.StringType())]
+
+
 def _predict(batches, model):
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        said = [model.value.predict(t) for t in batch.column(at).to_pylist()]
-        kinds = (("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_()), ("runner_up", pa.string()))
-        new = [pa.array([x[i] for x in said], kind) for i, (_, kind) in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *(k for k, _ in kinds)])
+    for batch in slices(batches, "text"):
+        said = [model.value.predict(t) for t in batch.column("text").to_pylist()]
+        kinds = (pa.string(), pa.float64(), pa.bool_(), pa.string())
+        yield with_columns(batch, {name: pa.array([x[i] for x in said], kinds[i]) for i, (name, _) in enumerate(_ADDED)})
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (text among its columns) with lang_pred, score, ambiguous and runner_up added.
+    """docs (text among its columns) with lang_pred, score, ambiguous and runner_up at the end; columns of such names are replaced.
 
     Only text decides. A text that is null or has no letter gives ``und``, score 0.
     """
-    added = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("ambiguous", T.BooleanType()), ("runner_up", T.StringType())]
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(*x) for x in added)])
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_LANGUAGES x BUCKETS counts went into it
-    return docs.mapInArrow(lambda it: _predict(it, shipped), schema)
+    return docs.mapInArrow(lambda it: _predict(it, shipped), adding(docs, _ADDED))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -185,25 +188,27 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
 
 
-def _determined(batches, model):
-    for batch in batches:
-        said = [model.value.predict(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+def _determined(batches, model, wanted):
+    for batch in slices(batches, "text"):
+        said = [model.value.predict(t) for t in batch.column("text").to_pylist()]
         at = batch.schema.get_field_index("lang")
         given = batch.column(at).to_pylist()
-        lang = [said_lang if known is None and not ambiguous else known for known, (said_lang, _, ambiguous, _) in zip(given, said, strict=True)]
+        lang = [x[0] if known is None and not x[2] else known for known, x in zip(given, said, strict=True)]
         batch = batch.set_column(at, batch.schema.field(at), pa.array(lang, batch.schema.field(at).type))
-        yield batch.filter(pa.array([x[0] != UNDETERMINED for x in said], pa.bool_()))
+        yield batch.filter(pa.array([x[0] != UNDETERMINED and (wanted is None or x[0] in wanted or x[2] and x[3] in wanted) for x in said], pa.bool_()))
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose language can't be told (no text or no letter); columns as given.
+def keep_identified(docs: DataFrame, wanted: Collection[str] | None = None) -> DataFrame:
+    """docs without the rows whose language can't be told (no text or no letter) or isn't wanted; columns as given.
 
-    Where lang is null the predicted language is written into it, unless that is ambiguous; given
-    languages and ambiguous texts stay as they are. If no row has a language to learn from, nothing
-    can be predicted or rejected and all stay.
+    wanted: the languages to keep, all that are learned by default. Only the classifier's answer
+    counts, whatever lang says; a text between two languages stays if either is wanted. Where lang is
+    null the predicted language is written into it, unless that is ambiguous; given languages stay as
+    they are. If no row has a language to learn from, nothing can be predicted or rejected and all stay.
     """
     model = fit(docs.filter(~held_out()))
     if not model.languages:
         return docs
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(lambda it: _determined(it, shipped), docs.schema)
+    chosen = None if wanted is None else frozenset(wanted)
+    return docs.mapInArrow(lambda it: _determined(it, shipped, chosen), docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import adding, slices, with_columns
 
 #: Where the public tokenizers lie; a parameter of every function, this is its default.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -356,21 +356,16 @@ def _text(raw: pa.Array) -> pa.Array:
         return pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
 
 
-def _with(batch, name: str, column: pa.Array) -> pa.RecordBatch:
-    kept = [n for n in batch.schema.names if n != name]
-    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), column], [*kept, name])
-
-
 def _encode(batches, shipped, column: str):
     codec = _codec(shipped)
     for batch in slices(batches, column):
-        yield _with(batch, "ids", codec.encode_all(batch.column(column)))
+        yield with_columns(batch, {"ids": codec.encode_all(batch.column(column))})
 
 
 def _decode(batches, shipped, column: str):
     codec = _codec(shipped)
     for batch in batches:
-        yield _with(batch, "decoded", _text(codec.decode_all(batch.column(column))))
+        yield with_columns(batch, {"decoded": _text(codec.decode_all(batch.column(column)))})
 
 
 def _round_trip(batches, shipped):
@@ -383,17 +378,13 @@ def _round_trip(batches, shipped):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_chars"), sizes, ids, restored], ["doc_id", "n_chars", "n_pieces", "ids", "restored"])
 
 
-def _adding(frame: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*(f for f in frame.schema.fields if f.name != name), T.StructField(name, kind)])
-
-
 def encode(frame: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
     """frame with ids, array<int>, of the whole of column text: null for a null text, empty for an empty one.
 
     A column ids that frame has already is replaced; others may have any names. An empty table gives no rows.
     """
     shipped = _ship(frame, model)
-    return frame.mapInArrow(lambda it: _encode(it, shipped, text), _adding(frame, "ids", T.ArrayType(T.IntegerType())))
+    return frame.mapInArrow(lambda it: _encode(it, shipped, text), adding(frame, [("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(frame: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
@@ -402,7 +393,7 @@ def decode(frame: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
     A column decoded that frame has already is replaced. Ids must be those of pieces, none of them null.
     """
     shipped = _ship(frame, model)
-    return frame.mapInArrow(lambda it: _decode(it, shipped, ids), _adding(frame, "decoded", T.StringType()))
+    return frame.mapInArrow(lambda it: _decode(it, shipped, ids), adding(frame, [("decoded", T.StringType())]))
 
 
 def encoded_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes
+from .common import gram_hashes, slices
 from .hashing import BLANKS, Words
 
 SEED = 8
@@ -49,12 +49,12 @@ def spans(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 
 def _texts(batch) -> list[bytes]:
-    return [t or b"" for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
+    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
 def _seeds(batches, window: int):
     """(key, anchor, often): each distinct anchor of a text once; often: it is there more than once."""
-    for batch in batches:
+    for batch in slices(batches, "text"):
         keys, all_hashes, often = [], [], []
         for key, text in zip(batch.column(0).to_pylist(), _texts(batch), strict=True):
             hashes = _words(text)[0]
@@ -70,7 +70,7 @@ def _seeds(batches, window: int):
 
 def _windows(batches, window: int):
     """(key, hash, often) of each distinct window that holds an anchor known to repeat."""
-    for batch in batches:
+    for batch in slices(batches, "text"):
         keys, found, often = [], [], []
         for key, text, seeds in zip(batch.column(0).to_pylist(), _texts(batch), batch.column(2), strict=True):
             hashes = _words(text)[0]
@@ -91,7 +91,7 @@ def _windows(batches, window: int):
 
 
 def _cut(batches, window: int, texts: bool):
-    for batch in batches:
+    for batch in slices(batches, "text"):
         rows = []
         for text, copies, repeats in zip(_texts(batch), batch.column(2).to_pylist(), batch.column(3), strict=True):
             hashes, starts, ends = _words(text)
