@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import fresh
+
 SHINGLE = 5
 #: Bins of a fingerprint, a power of two; its length in hex digits.
 BINS = 256
@@ -52,7 +54,7 @@ def fingerprints(frame: DataFrame, text: str, out: str) -> DataFrame:
     Words are runs of other than ASCII white space, lower-cased. Null texts count as empty.
     Equal texts have equal fingerprints.
     """
-    words, ordered, filled, dense = (f"__{out}_{k}" for k in ("words", "ordered", "filled", "dense"))
+    words, ordered, filled, dense = fresh(frame, "words", "ordered", "filled", "dense")
     split = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     frame = frame.withColumn(words, F.transform(split, lambda w: F.xxhash64(w)))
     frame = frame.withColumn(ordered, F.sort_array(_hashes(F.col(words)))).drop(words)
@@ -84,31 +86,45 @@ def likeness(a: str, b: str) -> Column:
     return F.when(x == y, 1.0).when((x == "") | (y == ""), 0.0).when(x.isNotNull() & y.isNotNull(), F.greatest(corrected, F.lit(0.0)))
 
 
+def _numbers(values: list, kind: str) -> Column:
+    """An array of numbers as one constant, however many they are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
 def with_next(frame: DataFrame, key: str, tie: str, carry: dict[str, str]) -> DataFrame:
     """frame with, from the next row in descending order of key (then tie), the columns carry as named there.
 
-    After the last row comes the first again; null keys come last. The order is cut into buckets
-    of equal width in key, each a task's; a bucket also gets the first row of the bucket after it.
-    Only the number, least and greatest key, and one row a bucket (MOST_BUCKETS at most) meet in one place.
+    After the last row comes the first again; null keys come last. The order is cut at quantiles of
+    key (a sketch of them) into buckets, each a task's; a bucket also gets the first rows of the one
+    after it. Only the quantiles and one row a bucket (MOST_BUCKETS at most) meet in one place. Rows of
+    one key, and those without one, are in one bucket.
     """
-    total = frame.agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    lo, hi = (total.lo or 0), (total.hi or 0)
-    buckets = max(1, min(MOST_BUCKETS, total.n // BUCKET_ROWS))
-    width = max(1.0, (hi - lo + 2) / buckets)
-    order = F.coalesce(F.col(key).cast("double"), F.lit(float(lo) - 1))
-    frame = frame.withColumn("__order", F.coalesce(F.col(key), F.lit(lo - 1).cast("long")))
-    frame = frame.withColumn("__bucket", F.floor((order - F.lit(float(lo) - 1)) / F.lit(width)))
-    tops = frame.groupBy("__bucket").agg(F.max("__order").alias("__order"))
+    cuts = max(1, min(MOST_BUCKETS, frame.count() // BUCKET_ROWS))
+    bounds = []
+    if cuts > 1:
+        shares = _numbers([k / cuts for k in range(1, cuts)], "double")
+        found = frame.agg(F.percentile_approx(key, shares, max(10_000, 2 * cuts)).alias("q")).first().q
+        bounds = sorted({*found}) if found else []
+    bucket, to, top, place, inside = fresh(frame, "bucket", "to", "top", "place", "inside")
+    # how many bounds are at most the key: binary search, from the largest step on
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    line = _numbers(bounds, "bigint")
+    below = F.aggregate(
+        F.array(*map(F.lit, steps)) if steps else F.array().cast("array<int>"), F.lit(0),
+        lambda at, s: F.when(F.get(line, at + s - 1) <= F.col(key), at + s).otherwise(at),
+    )
+    frame = frame.withColumn(bucket, F.when(F.col(key).isNull(), -1).otherwise(below))
+    tops = frame.groupBy(bucket).agg(F.max(key).alias(top))
     # the greatest key of each bucket is also the end of the bucket above it; of the highest bucket, of the lowest
-    above = F.lead("__bucket").over(Window.orderBy("__bucket"))
-    lowest = F.min("__bucket").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    tops = tops.select("__order", F.coalesce(above, lowest).alias("__to"))
-    frame = frame.join(F.broadcast(tops), "__order", "left")
-    places = F.array(F.struct(F.col("__bucket").alias("b"), F.lit(False).alias("end")), F.struct(F.col("__to").alias("b"), F.lit(True).alias("end")))
-    frame = frame.withColumn("__place", F.explode(F.filter(places, lambda p: p["b"].isNotNull()))).withColumn("__in", F.col("__place.b"))
-    line = Window.partitionBy("__in").orderBy(F.col("__place.end"), F.desc("__order"), F.desc_nulls_last(tie))
-    frame = frame.withColumns({new: F.lead(old).over(line) for old, new in carry.items()})
-    return frame.filter("not __place.end").drop("__place", "__in", "__order", "__bucket", "__to")
+    above = F.lead(bucket).over(Window.orderBy(bucket))
+    lowest = F.min(bucket).over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    tops = tops.select(top, F.coalesce(above, lowest).alias(to))
+    frame = frame.join(F.broadcast(tops), F.col(key).eqNullSafe(F.col(top)), "left").drop(top)  # MOST_BUCKETS rows
+    places = F.array(F.struct(F.col(bucket).alias("b"), F.lit(False).alias("end")), F.struct(F.col(to).alias("b"), F.lit(True).alias("end")))
+    frame = frame.withColumn(place, F.explode(F.filter(places, lambda p: p["b"].isNotNull()))).withColumn(inside, F.col(f"{place}.b"))
+    order = Window.partitionBy(inside).orderBy(F.col(f"{place}.end"), F.desc_nulls_last(key), F.desc_nulls_last(tie))
+    frame = frame.withColumns({new: F.lead(old).over(order) for old, new in carry.items()})
+    return frame.filter(~F.col(f"{place}.end")).drop(place, inside, bucket, to)
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """URL filters by hashed host-suffix and path-prefix expressions.
 
-Each URL is expanded into expressions: every suffix of its host's labels with every prefix of
-its path whose length some rule's path has. The expressions meet the rules in an equi-join on
+Each URL is expanded into expressions: every suffix of its host with as many labels as some rule's
+host has, with every prefix of its path whose length some rule's path has. The expressions meet the rules in an equi-join on
 the first ``PREFIX`` hex digits of their SHA-256; full digests confirm; the longest rule wins.
 
 URLs are judged once each: a page takes the verdict of its URL, so that copies of one page
@@ -55,18 +55,17 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     pages = pages.select("page_id", "url").withColumns({"host": host, "path": path})
     rules = rules.filter("host != '' and path is not null and verdict is not null")
     rules = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("said")).distinct()
-    counted = rules.agg(F.count("*").alias("n"), F.collect_set(F.length("rule_path")).alias("lengths")).first()
+    counted = rules.agg(F.count("*").alias("n"), F.collect_set(F.length("rule_path")).alias("lengths"), F.collect_set(F.size(F.split("rule_host", r"\."))).alias("labels")).first()
     expression = F.concat_ws("\n", "rule_host", "rule_path")
     rules = rules.withColumn("digest", F.sha2(expression, 256))
     rules = rules.withColumn("short", F.substring("digest", 1, PREFIX))
 
-    # distinct lengths of rules' paths: no more than the longest path has characters
+    # distinct lengths of rules' paths and hosts: no more than the longest has characters or labels
     lengths = F.array(*(F.lit(n) for n in sorted(counted.lengths))) if counted.lengths else F.array().cast("array<int>")
-    labels = F.split("host", r"\.")
     urls = pages.select("host", "path").filter("host != ''").distinct()
-    suffixes = F.explode(
-        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    )
+    dots = F.length("host") - F.length(F.replace(F.col("host"), F.lit("."), F.lit("")))
+    # the last n labels, where the host has as many
+    suffixes = F.explode(F.array_compact(F.array(*(F.when(dots >= n - 1, F.substring_index("host", ".", -n)) for n in sorted(counted.labels)), F.lit(None).cast("string"))))
     prefixes = F.explode(F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)))
     said = urls.withColumn("suffix", suffixes).withColumn("prefix", prefixes)
     said = said.withColumn("full", F.sha2(F.concat_ws("\n", "suffix", "prefix"), 256))
