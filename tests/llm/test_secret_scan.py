@@ -62,3 +62,68 @@ def test_many_owners_in_one_repository_make_a_copied_example(spark):
     assert text[0] == rows[0][1] and text[1000] == "doc 0 token=[SECRET]"
     alone = {r.doc_id: r for r in scan(docs, copied_owners=None).collect()}
     assert (alone[0].n_live, alone[0].n_copied, alone[0].n_added) == (2, 0, 1)
+
+
+OPAQUE = re.compile(r"[A-Za-z0-9_-]{24,}")
+
+
+def judged(rows, copied=3, most=50):
+    """Spans with their verdicts, in plain Python: {row: [(start, rank, end, live)]}; rows are (doc_id, text, source)."""
+    found, repos, owners = {}, {}, {}
+    for at, (i, text, source) in enumerate(rows):
+        mine = [(m.start(), k, m.end(), m[g]) for k, (_, p, g, n) in enumerate(BASE) for m in p.finditer(text or "") if len(m[g]) >= n]
+        mine += [(m.start(), 3, m.end(), m[0]) for m in OPAQUE.finditer(text or "") if all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
+        found[at] = sorted(mine)
+        for *_, v in mine:
+            repos.setdefault(v, set()).add(source)
+            owners.setdefault(v, set()).add(i)
+    half = lambda values, limit: max(2, min(limit, (len(set(values) - {None}) + 1) // 2))
+    several, many = half([r[2] for r in rows], copied), half([r[0] for r in rows], most)
+    live = {v: len(repos[v] - {None}) < several and len(owners[v] - {None}) < many for v in repos}
+    return {
+        at: [(a, k, b, live[v]) for a, k, b, v in mine if k < 3 or live[v] and not any(y[1] < 3 and y[0] < b and a < y[2] for y in mine)]
+        for at, mine in found.items()
+    }
+
+
+def test_verdicts_by_repositories_and_owners(spark):
+    """Planted copied and live values, against the plain version; owners or repositories alone give other verdicts."""
+    import random
+
+    rng = random.Random(6)
+    token = lambda: "".join(rng.choice("abcdefXYZ0123456789") for _ in range(30))
+    spread, pasted, mine, few = [token() for _ in range(3)], [token() for _ in range(3)], [token() for _ in range(40)], token()
+    rows = []
+    for i in range(200):
+        parts = ["é words", f"secret={mine[i % 40]}" if i % 3 == 0 else mine[i % 40]]
+        if i % 7 == 0:
+            parts.append(f"token: {spread[i % 3]}")
+        if i % 2:
+            parts.append(pasted[i // 67])
+        if i in (2, 4, 6):
+            parts.append(f"token: {few}")
+        rows.append((i, " ".join(parts), "hot" if i % 2 else f"r{i % 9}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in scan(docs, copied_owners=30).collect()}
+    want = judged(rows, most=30)
+    names = ["assign", "access", "hex", "opaque"]
+    for i, spans in want.items():
+        assert got[i].spans == ",".join(f"{names[k]}:{a}:{b}" for a, k, b, _ in spans)
+        assert (got[i].n_live, got[i].n_copied) == (sum(x[3] for x in spans), sum(not x[3] for x in spans))
+    verdicts = lambda frame: {r.doc_id: (r.spans, r.n_live) for r in frame.collect()}
+    assert verdicts(scan(docs, copied_owners=None)) != verdicts(scan(docs, copied_owners=30)) != verdicts(scan(docs, copied=5, copied_owners=30))
+    assert verdicts(scan(docs, copied=5, copied_owners=30)) == {i: (",".join(f"{names[k]}:{a}:{b}" for a, k, b, _ in x), sum(y[3] for y in x)) for i, x in judged(rows, 5, 30).items()}
+
+
+def test_many_matches_in_one_text(spark):
+    text = "é" + " ".join(f"{i:016x}" for i in range(4000))
+    docs = spark.createDataFrame([(1, text, "a", "k", 1), (2, "é plain", "a", "k", 1)], "doc_id long, text string, source string, key string, cuts int")
+    (one,) = scan(docs.filter("doc_id = 1")).collect()
+    assert one.n_hex == 4000 and one.spans == ",".join(f"hex:{1 + 17 * i}:{17 + 17 * i}" for i in range(4000))
+    out = {r.doc_id: r for r in redact(docs).collect()}
+    assert out[1].text == "é" + " ".join(["[SECRET]"] * 4000) and out[2] == (2, "é plain", "a", "k", 1) and out[1].key == "k"
+
+
+def test_overlapping_live_values_share_a_mark(spark):
+    docs = spark.createDataFrame([(1, "ü token=zz0123456789abcdef0123yy end", "a"), (2, "nothing", "b")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.text for r in redact(docs).collect()} == {1: "ü token=[SECRET] end", 2: "nothing"}

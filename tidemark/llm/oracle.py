@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secret_scan import COPIED, KINDS
+from .secret_scan import COPIED, COPIED_OWNERS, KINDS
 from .url_filter import DEFAULT, RULES
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -67,11 +67,14 @@ def _kind(rank: int) -> str:
 _LINE = "coalesce(string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, rank){}, '')"
 SECRET_SCAN = f"""WITH d AS (SELECT row_number() OVER () AS i, doc_id, source, coalesce(text, '') AS text FROM documents),
 found AS ({" UNION ALL ".join(_kind(k) for k in range(len(KINDS)))}),
-often AS (SELECT v, count(DISTINCT source) < {COPIED} AS live FROM found JOIN d USING (i) GROUP BY 1),
-judged AS (SELECT f.*, live FROM found f JOIN often USING (v) WHERE rank < 3 OR (live AND NOT EXISTS (SELECT 1 FROM found g WHERE g.i = f.i AND g.rank < 3 AND g.a < f.b AND f.a < g.b)))
+many AS (SELECT greatest(2, least({COPIED}, (count(DISTINCT source) + 1) // 2)) AS repos, greatest(2, least({COPIED_OWNERS}, (count(DISTINCT doc_id) + 1) // 2)) AS owners FROM d),
+often AS (SELECT v, count(DISTINCT source) < any_value(repos) AND count(DISTINCT doc_id) < any_value(owners) AS live, count(DISTINCT doc_id) AS owners
+  FROM found JOIN d USING (i) CROSS JOIN many GROUP BY 1),
+judged AS (SELECT f.*, live, owners FROM found f JOIN often USING (v) WHERE rank < 3 OR (live AND NOT EXISTS (SELECT 1 FROM found g WHERE g.i = f.i AND g.rank < 3 AND g.a < f.b AND f.a < g.b)))
 SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   sha256({_LINE.format(" FILTER (rank < 3)")}) AS base_sha256, {_LINE.format("")} AS spans,
-  count(*) FILTER (rank = 3) AS n_added, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
+  count(*) FILTER (rank = 3) AS n_added, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied,
+  coalesce(max(owners), 0) AS most_owners
 FROM d LEFT JOIN judged USING (i) GROUP BY i, doc_id"""
 
 ORACLE = {
