@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+from tidemark.llm import decontaminate
 from tidemark.llm.decontaminate import THRESHOLD, Items, _words, align, find_leaks, without_leaks
 
 
@@ -115,3 +116,35 @@ def test_no_alignment_is_lost():
             for d, t in zip(docs, texts, strict=True):
                 scores = [(i, smith_waterman(w, d) / (2 * len(w))) for i, w in items]
                 assert [(i, s) for i, s, _, _ in block.leaks(t)] == [x for x in scores if x[1] >= threshold]
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
+    items, docs = data(spark)
+    left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(find_leaks(left, right).collect())
+    clean = sorted(without_leaks(left, right).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 1500)
+    assert len(list(decontaminate._blocks(left, right, THRESHOLD))) > 2
+    assert sorted(find_leaks(left, right).collect()) == whole and sorted(without_leaks(left, right).collect()) == clean
+    assert Items([(1, b"a b c d")]).rare({}).grams.size == 0
+
+
+def test_a_phrase_that_all_items_share_makes_no_leaks(spark):
+    rng = random.Random(12)
+    phrase = "which of the following statements is true about the"
+    body = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    items = [(i, f"{phrase} {body(14)}") for i in range(40)] + [(100, phrase)]
+    docs = [(d, f"{body(30)} {phrase} {body(30)}") for d in range(60)] + [(60 + i, f"{body(9)} {items[i][1]} {body(9)}") for i in range(5)]
+    got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, i) for d, t in docs for i, x in items if smith_waterman(x.split(), t.split()) >= THRESHOLD * 2 * len(x.split())}
+    assert got == want and {(60 + i, i) for i in range(5)} <= got and {(d, 100) for d in range(60)} <= got
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(13)
+    words = [f"w{rng.randrange(5000)}" for _ in range(20_000)]
+    item = [f"q{k}" for k in range(30)]
+    text = words[:11_000] + item[:12] + ["new"] + item[13:] + words[11_000:]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(words))], "doc_id long, text string")
+    (r,) = find_leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert (r.doc_id, r.item_id, r.first, r.last, round(r.score * 60)) == (1, 7, 11_000, 11_030, 57)

@@ -1,27 +1,25 @@
 """The pipeline against a plain version of its stages over the smallest given tables."""
 
 import os
-import re
 
 import pytest
-from test_near_dedup import brute as near_brute
+from pyspark.sql import functions as F
 from test_decontaminate import smith_waterman
+from test_language_id import Plain, held
+from test_near_dedup import brute as near_brute
+from test_secret_scan import BASE, judged
 
 import corpus_pipeline
-from tidemark.llm.decontaminate import THRESHOLD, Items, _words
-from tidemark.llm.secret_scan import COPIED
+from tidemark.llm.decontaminate import THRESHOLD, _words
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables here")
 
-ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
-HEX = re.compile(r"[0-9a-f]{16,}")
-
-
 def plain(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    left = {i: r.text for i, r in docs.items() if r.text and any(c.isalpha() for c in r.text)}
+    model = Plain([(r.text, r.lang) for r in docs.values() if not held(r.doc_id)])
+    left = {i: r.text for i, r in docs.items() if model.predict(r.text)[0] in model.languages}
     classes = near_brute(left.items(), 5, 80)
     left = {i: t for i, t in left.items() if classes[i][1] == i}
     words = {i: _words(t.encode())[0].tolist() for i, t in left.items()}
@@ -31,22 +29,32 @@ def plain(spark):
         return any(len(set(t) & set(own)) >= THRESHOLD * len(set(t)) / 2 and smith_waterman(t, own) >= THRESHOLD * 2 * len(t) for t in tests)
 
     left = {i: t for i, t in left.items() if not leaks(words[i])}
-    values = lambda t: [(m.start(1), m.end(1)) for m in ASSIGN.finditer(t) if len(m[1]) >= 12] + [m.span() for m in HEX.finditer(t)]
-    where = {}
-    for i, t in left.items():
-        for a, b in values(t):
-            where.setdefault(t[a:b], set()).add(docs[i].source)
+    ids = list(left)
     out = {}
-    for i, t in left.items():
-        done, at = "", 0
-        for a, b in sorted(x for x in values(t) if len(where[t[x[0] : x[1]]]) < COPIED):
-            if a >= at:
-                done += t[at:a] + "[SECRET]"
-            at = max(at, b)
-        out[i] = done + t[at:]
+    for at, spans in judged([(i, left[i], docs[i].source) for i in ids]).items():
+        text, done, upto = left[ids[at]], "", 0
+        value = lambda a, k, b: (a + [m.start(1) - m.start() for m in BASE[0][1].finditer(text, a, b)][0] if k == 0 else a, b)
+        for a, b in sorted(value(a, k, b) for a, k, b, live in spans if live):
+            if a >= upto:
+                done += text[upto:a] + "[SECRET]"
+            upto = max(upto, b)
+        out[ids[at]] = done + text[upto:]
     return out
 
 
+def test_the_language_stage_decides_by_its_classifier(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang")))
+    rows = docs.collect()
+    model = Plain([(r.text, r.lang) for r in rows if not held(r.doc_id)])
+    want = {}
+    for r in rows:
+        said, _, ambiguous, _ = model.predict(r.text)
+        if said != "und":
+            want[r.doc_id] = r.lang if r.lang is not None or ambiguous else said
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, docs, DATA).collect()}
+    assert got == want and sum(r.lang is None and want.get(r.doc_id) is not None for r in rows) > 30
+
+
 def test_against_plain_stages(spark):
     from tidemark.llm.sentencepiece_codec import Codec, Pieces
 
@@ -73,7 +81,3 @@ def test_stages_keep_columns_and_bear_odd_rows(spark):
         last = stage(spark, last, DATA)
     assert sorted(((r.doc_id, r.text) for r in last.collect()), key=repr) == [(3, "token=[SECRET] the end"), (None, "words without an id")]
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), DATA).count() == 0
-
-
-def test_items_blocks_agree():
-    assert Items([(1, b"a b c d")]).rare({}).grams.size == 0

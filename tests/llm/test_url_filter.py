@@ -39,3 +39,8 @@ def test_no_rules_and_no_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.com/en/")], "page_id long, url string")
     assert [(r.rule, r.verdict) for r in judge(pages, rule_table(spark, [])).collect()] == [(None, "allow")]
     assert judge(pages.limit(0), rule_table(spark, RULES)).count() == 0
+
+
+def test_a_host_of_many_labels(spark):
+    pages = spark.createDataFrame([(1, "http://" + "a." * 20_000 + "com/en/q"), (2, "http://" + "." * 20_000 + "/en/")], "page_id long, url string")
+    assert [(r.rule, r.verdict) for r in judge(pages, rule_table(spark, RULES)).orderBy("page_id").collect()] == [("com/en/", "block"), (None, "allow")]

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.lineage import release, shared_dir, written
+from ..operators import lineage
+from ..operators.lineage import release, shared_dir
 
 #: The separators of words in every contract: space and the ASCII controls 9 to 13.
 #: ``bytes.split()`` without arguments splits at exactly these.
@@ -20,8 +21,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Bytes of texts that a Python worker turns into objects at a time.
-SLICE_BYTES = 2 << 20
+#: Bytes of texts that a Python worker turns into objects at a time, and rows that it is handed while a table is written.
+SLICE_BYTES, BATCH_ROWS = 2 << 20, 2000
 
 
 def slices(batches, column: str, most: int = SLICE_BYTES):
@@ -34,6 +35,7 @@ def slices(batches, column: str, most: int = SLICE_BYTES):
             to = max(at + 1, int(np.searchsorted(upto, before + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()
 
 
 def adding(frame: DataFrame, fields: list[tuple[str, T.DataType]]) -> T.StructType:
@@ -59,6 +61,21 @@ def fresh(frame: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``lineage.written``, with Arrow batches of BATCH_ROWS rows at most while it runs: both ends hold a batch for each task.
+
+    The session's own setting is in force again afterwards.
+    """
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    before = conf.get(key)
+    if not 0 < int(before) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    try:
+        return lineage.written(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

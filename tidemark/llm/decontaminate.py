@@ -94,9 +94,16 @@ class Items:
         self.grams, self.items, self.times = grams, items, times
         self.runs = np.searchsorted(grams, grams, "right") - np.arange(len(grams))
 
-    def rare(self, counts: dict[int, int]) -> Items:
-        """Only the seeds that occur, and of these up to half of what need allows left out, the most frequent first."""
-        often = np.array([counts.get(g, 0) for g in self.grams.view(np.int64).tolist()], np.int64)
+    def rare(self, counts: dict[int, int] | tuple[np.ndarray, np.ndarray]) -> Items:
+        """Only the seeds that occur, and of these up to half of what need allows left out, the most frequent first.
+
+        counts: documents by gram (signed), a dict or two arrays.
+        """
+        known, n = counts if isinstance(counts, tuple) else (np.array([*counts.keys()], np.int64), np.array([*counts.values()], np.int64))
+        often, at = np.zeros(len(self.grams), np.int64), np.argsort(known)
+        if len(known):
+            place = np.minimum(np.searchsorted(known[at], self.grams.view(np.int64)), len(known) - 1)
+            often = np.where(known[at][place] == self.grams.view(np.int64), n[at][place], 0)
         order = np.lexsort((-often, self.items))
         bounds = np.searchsorted(self.items[order], np.arange(len(self.ids) + 1))
         keep = often > 0
@@ -204,8 +211,8 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, threshold: float):
             continue
         shipped = spark.sparkContext.broadcast(block)
         counts = docs.select("text").mapInArrow(lambda it, s=shipped: _count(it, s), "gram long, n long")
-        counts = {r.gram: r.n for r in counts.groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # at most the block's n-grams
-        yield spark.sparkContext.broadcast(block.rare(counts))
+        counts = counts.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most the block's n-grams, 16 bytes each
+        yield spark.sparkContext.broadcast(block.rare((counts.column("gram").to_numpy(), counts.column("n").to_numpy())))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
