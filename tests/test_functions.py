@@ -162,7 +162,7 @@ def test_inflate():
         parsing.inflate(good, 5)
     assert parsing.adler32(b"Wikipedia") == 0x11E60398
     with pytest.raises(parsing.Malformed):
-        packs.parse_index(b"\xfftOc\x00\x00\x00\x01" + b"\0" * 2000)
+        packs.Index(b"\xfftOc\x00\x00\x00\x01" + b"\0" * 2000)
     assert parsing.parse_loose(b"blob 2\0hi") == ("blob", b"hi")
     for bad in (b"blob 3\0hi", b"blub 2\0hi", b"blob 2", b"blob2\0hi"):
         with pytest.raises(parsing.Malformed):

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from tidemark.plans import gitdata  # noqa: F401  adds its queries
 from tidemark.plans.testdata import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"

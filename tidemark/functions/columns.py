@@ -70,9 +70,13 @@ def csv_field(text: Column) -> Column:
 
 
 def json_string(text: Column) -> Column:
-    """A JSON string: quotes, backslashes and the controls that have letters escaped."""
+    """A JSON string: quotes, backslashes and all control characters escaped."""
     for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
         text = F.replace(text, F.lit(plain), F.lit(escaped))
+    rare = text
+    for c in (*range(8), 11, *range(14, 32)):
+        rare = F.replace(rare, F.lit(chr(c)), F.lit(f"\\u{c:04x}"))
+    text = F.when(F.regexp(text, F.lit(r"[\x00-\x1f]")), rare).otherwise(text)
     return F.concat(F.lit('"'), text, F.lit('"'))
 
 

@@ -15,6 +15,10 @@ DIRECTORY, SUBMODULE = 0o040000, 0o160000
 KINDS = {1: "commit", 2: "tree", 3: "blob", 4: "tag"}
 OFS_DELTA, REF_DELTA = 6, 7
 ZERO = "0" * 40
+#: What counts as white space around names and between times and zones (Unicode's White_Space).
+BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Compressed bytes that are looked at in one go.
+_FED = 1 << 16
 
 
 class Malformed(ValueError):
@@ -64,13 +68,13 @@ def parse_signature(line: bytes) -> Signature:
     email, closing, stamp = rest.partition(">")
     if not bracket or not closing:
         raise Malformed("signature without an address")
-    words = stamp.split()
+    words = [w for w in re.split(f"[{BLANK}]", stamp) if w]
     try:
         seconds = int(words[0]) if words and re.fullmatch(r"[+-]?[0-9]+", words[0], re.A) else 0
     except ValueError:
         seconds = 0
     zone = parse_zone(words[1]) if len(words) > 1 else None
-    return Signature(name.strip(), email, seconds if -(2**63) <= seconds < 2**63 else 0, zone or 0)
+    return Signature(name.strip(BLANK), email, seconds if -(2**63) <= seconds < 2**63 else 0, zone or 0)
 
 
 def parse_commit(data: bytes) -> Commit:
@@ -110,18 +114,24 @@ def parse_loose(raw: bytes) -> tuple[str, bytes]:
     return kind.decode(), data
 
 
-def inflate(raw: bytes, size: int | None = None) -> tuple[bytes, int]:
-    """(contents, bytes read) of the zlib stream that raw begins with; raw may go on after it."""
-    stream = zlib.decompressobj()
+def inflate(raw, size: int | None = None, at: int = 0) -> tuple[bytes, int]:
+    """(contents, bytes read) of the zlib stream that begins at a place of raw (bytes or a mapped file); raw may go on after it."""
+    stream, parts, read, end = zlib.decompressobj(), [], 0, at
     try:
-        data = stream.decompress(raw)
+        while not stream.eof and end < len(raw):
+            part = raw[end : end + _FED]
+            end += len(part)
+            parts.append(stream.decompress(part))
+            read += len(parts[-1])
+            if size is not None and read > size:
+                break
     except zlib.error as e:
         raise Malformed(f"zlib stream: {e}") from e
+    if size is not None and (read > size or stream.eof and read < size):
+        raise Malformed(f"zlib stream of other than {size} bytes")
     if not stream.eof:
         raise Malformed("zlib stream ends early")
-    if size is not None and len(data) != size:
-        raise Malformed(f"zlib stream of {len(data)} bytes, {size} expected")
-    return data, len(raw) - len(stream.unused_data)
+    return b"".join(parts), end - at - len(stream.unused_data)
 
 
 def adler32(data: bytes) -> int:
@@ -179,15 +189,19 @@ def apply_delta(base: bytes, delta: bytes) -> bytes:
 
 def signature_column(line: Column) -> Column:
     """``parse_signature`` over a column: a struct, null where there is no address."""
-    stamp = F.regexp_extract(line, r"(?s)^.*<[^>]*>(.*)$", 1)
-    words = F.split(F.trim(stamp), r"\s+")
-    zone = F.get(words, F.lit(1))
+    rest = F.substring_index(line, "<", -1)  # after the last <; the whole where there is none
+    email = F.substring_index(rest, ">", 1)
+    stamp = F.substring(rest, F.length(email) + 2, F.length(rest))
+    words = F.filter(F.split(stamp, f"[{BLANK}]"), lambda w: w != "")
+    seconds, zone = F.get(words, F.lit(0)), F.get(words, F.lit(1))
     minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")
     signed = F.when(F.startswith(zone, F.lit("-")), -minutes).otherwise(minutes)
+    name = F.substring(line, F.lit(1), F.length(line) - F.length(rest) - 1)
+    zero = F.lit(0).cast("long")
     found = F.struct(
-        F.trim(F.regexp_extract(line, r"(?s)^(.*)<[^<>]*>[^<]*$", 1)).alias("name"),
-        F.regexp_extract(line, r"(?s)^.*<([^<>]*)>[^<]*$", 1).alias("email"),
-        F.coalesce(F.get(words, F.lit(0)).try_cast("long"), F.lit(0).cast("long")).alias("time"),
-        F.coalesce(F.when(F.regexp(zone, F.lit(r"^[+-][0-9]{4}$")), signed), F.lit(0)).cast("int").alias("offset_minutes"),
+        F.regexp_replace(name, rf"\A[{BLANK}]+|[{BLANK}]+\z", "").alias("name"),
+        email.alias("email"),
+        F.coalesce(F.when(F.regexp(seconds, F.lit(r"\A[+-]?[0-9]+\z")), seconds.try_cast("long")), zero).alias("time"),
+        F.coalesce(F.when(F.regexp(zone, F.lit(r"\A[+-][0-9]{4}\z")), signed), F.lit(0)).cast("int").alias("offset_minutes"),
     )
-    return F.when(F.regexp(line, F.lit(r"(?s)<[^<]*>")), found)
+    return F.when(F.contains(line, F.lit("<")) & F.contains(rest, F.lit(">")), found)

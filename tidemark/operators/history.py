@@ -83,12 +83,10 @@ def diff_entries(before: DataFrame, after: DataFrame, key: list[str], content: s
     return both.withColumn("kind", kind)
 
 
-def merge_refs(loose: DataFrame, packed: DataFrame) -> DataFrame:
-    """refs (name, oid): loose ones override packed ones."""
-    loose = loose.select("name", F.col("oid").alias("loose"))
-    return packed.join(loose, "name", "full_outer").select("name", F.coalesce("loose", "oid").alias("oid"))
+def with_first_parent(commits: DataFrame, known: DataFrame) -> DataFrame:
+    """commits (oid, parents, tree) with old, the tree of the first parent among known, and new, their own.
 
-
-def unreadable(parents: DataFrame, commits: DataFrame) -> DataFrame:
-    """The distinct oids that are referred to as parents and are no commit here."""
-    return parents.select("oid").distinct().join(commits.select(F.col("commit_oid").alias("oid")), "oid", "left_anti")
+    A root commit and one whose first parent is missing have no old tree: all of their files are new.
+    """
+    parents = known.select(F.col("oid").alias("first"), F.col("tree").alias("old"))
+    return commits.withColumn("first", F.get("parents", F.lit(0))).join(parents, "first", "left").withColumnRenamed("tree", "new")

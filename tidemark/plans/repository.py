@@ -1,7 +1,7 @@
 """History and snapshot of a git repository as DataFrames.
 
-The driver orders the walk (about 100 bytes a commit reach it: ids, parents, author, time);
-executors decode objects, compare trees level by level and measure files.
+The driver orders the walk: id, parents, author and time of every commit reach it, some 800 bytes
+each as Python objects (a million commits take a gigabyte or less); executors decode objects, compare trees level by level and measure files.
 """
 
 from __future__ import annotations
@@ -61,6 +61,7 @@ def parse_trees(objects: DataFrame) -> DataFrame:
 class Walk:
     rows: list[tuple]  # (oid, walk_seq, author_idx) of kept commits
     authors: list[tuple[int, str, str]]
+    #: distinct ids that were referred to and couldn't be read
     unreadable: int
 
 
@@ -103,18 +104,15 @@ def tree_changes(pairs: DataFrame, entries: DataFrame) -> DataFrame:
     known = written(entries.select(F.col("tree_oid").alias("tree")).distinct(), "trees")
     mine = entries.filter("name is not null").select("tree_oid", "name", "segment", "mode", "oid")
     frontier = written(pairs.filter("not (old <=> new)").select("root", F.lit("").alias("prefix"), "old", "new"), "frontier")
-    found, key = None, ["root", "prefix", "name"]
+    found, key = None, ["root", "prefix", "name", "segment"]
     while frontier.take(1):
         needed = frontier.filter("new is not null and (old is not null or prefix = '')").select(F.explode(F.array_compact(F.array("old", "new"))).alias("tree"))
         if lost := needed.join(known, "tree", "left_anti").take(1):
             raise Malformed(f"tree {lost[0].tree} is missing")
-        side = lambda s: frontier.join(mine, F.col(s) == F.col("tree_oid")).select(
-            *key, F.col("segment").alias(f"{s}_segment"), F.col("mode").alias(f"{s}_mode"), F.col("oid").alias(f"{s}_oid")
-        )
-        both = side("old").join(side("new"), key, "full_outer")
-        both = both.filter("not (old_oid <=> new_oid and old_mode <=> new_mode)")
-        path = F.concat("prefix", F.coalesce("new_segment", "old_segment"))
-        both = written(both.select("root", path.alias("path"), "old_mode", "old_oid", "new_mode", "new_oid"), "level")
+        side = lambda s: frontier.join(mine, F.col(s) == F.col("tree_oid")).select(*key, F.struct("mode", "oid").alias("entry"))
+        both = H.diff_entries(side("old"), side("new"), key, "entry")
+        both = both.select("root", F.concat("prefix", "segment").alias("path"), *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("old", "new") for c in ("mode", "oid")))
+        both = written(both, "level")
         old_dir, new_dir = F.coalesce(_is_dir("old_mode"), F.lit(False)), F.coalesce(_is_dir("new_mode"), F.lit(False))
         file = lambda s: F.col(f"{s}_mode").isNotNull() & ~_is_dir(f"{s}_mode")
         plain = lambda s: file(s) & (F.col(f"{s}_mode") != SUBMODULE)
@@ -161,8 +159,7 @@ def read_history(spark: SparkSession, path: str, tip: str, since: int | None = N
     walked = walk(known, tip, since, include_merges)
     order = spark.createDataFrame(walked.rows, "oid string, walk_seq bigint, author_idx bigint")
     kept = commits.join(order, "oid")
-    parents = commits.select(F.col("oid").alias("first"), F.col("tree").alias("old"))
-    kept = kept.withColumn("first", F.get("parents", F.lit(0))).join(parents, "first", "left").withColumnRenamed("tree", "new")
+    kept = H.with_first_parent(kept, commits)
     kept = kept.withColumn("root", F.concat_ws(":", F.coalesce("old", F.lit("")), "new"))
     kept = written(kept, "kept")
     events = tree_changes(kept.select("root", "old", "new").distinct(), entries)
@@ -186,8 +183,16 @@ def read_history(spark: SparkSession, path: str, tip: str, since: int | None = N
     return history
 
 
+def rehash(objects: DataFrame) -> DataFrame:
+    """oid, actual: the id that an object is filed under, and the one that its contents have."""
+    return objects.select("oid", X.object_id(F.col("kind"), F.col("data")).alias("actual"))
+
+
+def mismatches(ids: DataFrame) -> DataFrame:
+    return ids.filter("oid != actual")
+
+
 def verify(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
     """(objects, those whose contents hash to another id: oid, actual), loose and packed ones alike."""
-    objects = read_objects(spark, path).select("oid", X.object_id(F.col("kind"), F.col("data")).alias("actual"))
-    objects = written(objects, "ids")
-    return objects.count(), objects.filter("oid != actual")
+    ids = written(rehash(read_objects(spark, path)), "ids")
+    return ids.count(), mismatches(ids)
