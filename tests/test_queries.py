@@ -30,3 +30,14 @@ def compare(spark, query, sql):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
     compare(spark, QUERIES[name], ORACLE[name])
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables here")
+@pytest.mark.parametrize(("name", "reads"), [("hotspots_top", 1), ("owners_top", 1), ("age_top", 1), ("tally", 1), ("summary", 2), ("coupling_top", 2)])
+def test_final_plans_read_the_events_once_or_twice(spark, name, reads):
+    """What is planned several times is one exchange in the end; the second reading, of commit keys alone, finds the broad commits."""
+    frame = QUERIES[name](spark, DATA)
+    frame.collect()
+    final = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in final and final.count("FileScan parquet [l_") <= reads
+    assert "CartesianProduct" not in final

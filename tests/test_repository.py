@@ -108,11 +108,30 @@ def test_command_line(spark, repo, capsys):
     assert "verified 76 objects (0 loose, 76 packed)" in err.getvalue()
     out = io.StringIO()
     assert cli.run(spark, cli.parse([repo, "--dormant-days", "-1"], NOW), NOW, out, err) == 0
-    assert "18 commits by 2 authors over 2 months" in out.getvalue()
+    said = dict(line.split(None, 1) for line in out.getvalue().splitlines() if not line.startswith(("by ", "owner ")))
+    assert said["commits"] == "18, 2024-01-01 to 2024-03-04 (63 days)" and said["people"] == "2" and said["files"] == "7 of 9 that ever were" and said["lines"] == "3007"
+    assert "owner gone    7 files, by -1 silent days" in out.getvalue()
     out = io.StringIO()
     cli.run(spark, cli.parse(["age", "--path", "nothing*", repo], NOW), NOW, out, err)
-    assert out.getvalue().startswith("No commit matches")
+    assert "leave no commit" in out.getvalue()
     out = io.StringIO()
     cli.run(spark, cli.parse(["coupling", "--min-co", "1", "--json", repo], NOW), NOW, out, err)
     assert '"degree": 0.0909' in out.getvalue() and '"crosses_directories": true' in out.getvalue()
     assert cli.main(["--nonsense"]) == 2 and cli.main(["--help"]) == 0
+
+
+def test_tables_on_a_terminal(spark, repo, monkeypatch):
+    monkeypatch.setenv("COLUMNS", "120")
+    monkeypatch.setenv("NO_COLOR", "1")
+
+    def said(*argv):
+        out = io.StringIO()
+        assert cli.run(spark, cli.parse([*argv, repo], NOW), NOW, out, io.StringIO()) == 0
+        return out.getvalue().splitlines()
+
+    assert said("hotspots", "--top", "1")[1].split() == ["src/engine.py", "1.00", "11", "3001", "2", "2024-02-03"]
+    owners = said("owners", "--dormant-days", "7", "--top", "3")
+    assert owners[1].split("  ")[0] == "src/engine.py" and owners[-1].endswith("3 of these 3 owners")
+    assert said("coupling", "--min-co", "1")[1].split() == ["README.md", "src/engine.py", "9%", "1", "of", "11", "apart"]
+    assert said("coupling") == ["coupling: no rows (--min-co is 3)"]
+    assert said("age", "--top", "1")[1].split() == ["README.md", "91", "3", "months", "1"]

@@ -84,11 +84,16 @@ def owners(history: History, now: int, dormant_days: int = DORMANT_DAYS, limit:
 
 
 def co_changes(history: History) -> DataFrame:
-    """(a, b), a before b: commits that touch both. A broad commit doesn't count; so pairs stay few a commit."""
+    """(a, b), a before b: commits that touch both. A broad commit doesn't count; so a commit's paths, and its pairs, are few.
+
+    Each commit's paths are gathered in one row and paired there: one shuffle by commit, and no join of the events with themselves.
+    """
     narrow = history.commits.filter(~F.col("too_broad")).select("commit_oid")
-    touched = history.changes.filter("kind != 'Deleted'").select("commit_oid", "path").join(narrow, "commit_oid", "left_semi").distinct()
-    a, b = touched.withColumnRenamed("path", "a"), touched.withColumnRenamed("path", "b")
-    return a.join(b, "commit_oid").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("co_changes"))
+    touched = history.changes.filter("kind != 'Deleted'").select("commit_oid", "path").join(narrow, "commit_oid", "left_semi")
+    paths = touched.groupBy("commit_oid").agg(F.sort_array(F.collect_set("path")).alias("paths")).filter(F.size("paths") > 1)
+    after = lambda a, i: F.transform(F.slice("paths", i + 2, F.size("paths")), lambda b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = paths.select(F.inline(F.flatten(F.transform("paths", after))))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("co_changes"))
 
 
 def coupling(history: History, min_co: int = MIN_CO, limit: int | None = TOP) -> DataFrame:
