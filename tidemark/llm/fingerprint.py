@@ -38,14 +38,18 @@ def _bin(h: Column) -> Column:
 
 def _densified(dense: Column, filled: Column, b: Column) -> Column:
     """The value for empty bin b: of the first filled bin on its walk. After eight times the
-    steps that a walk takes on average, the filled bin of least hash is taken instead."""
-    steps = F.sequence(F.lit(1), F.lit(8) * F.ceil(F.lit(BINS) / F.greatest(F.size(filled), F.lit(1))).cast("int"))
-    walk = F.aggregate(
-        steps, F.lit(None).cast("bigint"),
+    steps that a walk takes on average, the filled bin of least hash is taken instead.
+
+    The walk is looked at in stretches of once, twice and five times that average: the next one
+    only if the one before ends without a filled bin.
+    """
+    mean = F.ceil(F.lit(BINS) / F.greatest(F.size(filled), F.lit(1))).cast("int")
+    walk = lambda first, last: F.aggregate(
+        F.sequence(first, last), F.lit(None).cast("bigint"),
         lambda at, j: F.coalesce(at, F.get(dense, F.pmod(F.xxhash64(b, j), F.lit(BINS)).cast("int"))),
     )
     rest = F.array_min(F.transform(filled, lambda h: F.struct(F.xxhash64(b, _bin(h)).alias("o"), h.alias("h"))))
-    return F.xxhash64(F.coalesce(walk, rest["h"]), b)
+    return F.xxhash64(F.coalesce(walk(F.lit(1), mean), walk(mean + 1, 3 * mean), walk(3 * mean + 1, 8 * mean), rest["h"]), b)
 
 
 def fingerprints(frame: DataFrame, text: str, out: str) -> DataFrame:
@@ -80,8 +84,13 @@ def likeness(a: str, b: str) -> Column:
     Two empty ones are alike (1), an empty and another are not (0).
     """
     x, y = F.col(a), F.col(b)
-    one = lambda s, i: F.substring(s, i, F.lit(1))
-    agree = F.aggregate(F.sequence(F.lit(1), F.lit(BINS)), F.lit(0), lambda n, i: n + (one(x, i) == one(y, i)).cast("int"))
+    ones = F.lit(0x1111111111111111)
+    sixteen = lambda s, k: F.conv(F.substring(s, 16 * k + 1, 16), 16, -10).cast("long")  # noqa: E731  digits as bits
+    # a digit agrees where none of its four bits differs
+    differ = lambda d: F.bit_count((d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseOR(F.shiftrightunsigned(d, 3))).bitwiseAND(ones))
+    agree = F.lit(BINS)
+    for k in range(BINS // 16):
+        agree = agree - differ(sixteen(x, k).bitwiseXOR(sixteen(y, k)))
     corrected = (agree / F.lit(BINS) - F.lit(1 / 16)) / F.lit(1 - 1 / 16)
     return F.when(x == y, 1.0).when((x == "") | (y == ""), 0.0).when(x.isNotNull() & y.isNotNull(), F.greatest(corrected, F.lit(0.0)))
 
@@ -122,6 +131,8 @@ def with_next(frame: DataFrame, key: str, tie: str, carry: dict[str, str]) -> Da
     frame = frame.join(F.broadcast(tops), F.col(key).eqNullSafe(F.col(top)), "left").drop(top)  # MOST_BUCKETS rows
     places = F.array(F.struct(F.col(bucket).alias("b"), F.lit(False).alias("end")), F.struct(F.col(to).alias("b"), F.lit(True).alias("end")))
     frame = frame.withColumn(place, F.explode(F.filter(places, lambda p: p["b"].isNotNull()))).withColumn(inside, F.col(f"{place}.b"))
+    # what follows is long work on few bytes: as many tasks as there are partitions, not as many as their bytes ask for
+    frame = frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), inside)
     order = Window.partitionBy(inside).orderBy(F.col(f"{place}.end"), F.desc_nulls_last(key), F.desc_nulls_last(tie))
     frame = frame.withColumns({new: F.lead(old).over(order) for old, new in carry.items()})
     return frame.filter(~F.col(f"{place}.end")).drop(place, inside, bucket, to)

@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from .common import adding, slices, with_columns
 
-#: Where the public tokenizers lie; a parameter of every function, this is its default.
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The public vocabulary that is used unless a function is given another's path.
+MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Units of up to so many bytes are encoded together.
 SHORT = 96
@@ -51,9 +51,14 @@ class Pieces:
     bytes_: list[int]  # id of each byte value
 
     @staticmethod
-    def load(model: str = MODEL) -> Pieces:
+    def load(model: str | None = None) -> Pieces:
+        """The vocabulary of a model file; by default that of MODEL, where the installed tokenizers have it."""
         import sentencepiece
 
+        if model is None:
+            import public_tokenizers
+
+            model = public_tokenizers.path(MODEL)
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         n = sp.get_piece_size()
         if n > MOST_PIECES:
@@ -378,7 +383,7 @@ def _round_trip(batches, shipped):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_chars"), sizes, ids, restored], ["doc_id", "n_chars", "n_pieces", "ids", "restored"])
 
 
-def encode(frame: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
+def encode(frame: DataFrame, text: str = "text", model: str | None = None) -> DataFrame:
     """frame with ids, array<int>, of the whole of column text: null for a null text, empty for an empty one.
 
     A column ids that frame has already is replaced; others may have any names. An empty table gives no rows.
@@ -387,7 +392,7 @@ def encode(frame: DataFrame, text: str = "text", model: str = MODEL) -> DataFram
     return frame.mapInArrow(lambda it: _encode(it, shipped, text), adding(frame, [("ids", T.ArrayType(T.IntegerType()))]))
 
 
-def decode(frame: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
+def decode(frame: DataFrame, ids: str = "ids", model: str | None = None) -> DataFrame:
     """frame with decoded, the text of column ids (null for null). What encode gave is restored exactly.
 
     A column decoded that frame has already is replaced. Ids must be those of pieces, none of them null.
@@ -396,7 +401,7 @@ def decode(frame: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
     return frame.mapInArrow(lambda it: _decode(it, shipped, ids), adding(frame, [("decoded", T.StringType())]))
 
 
-def encoded_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
+def encoded_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, n_chars, n_pieces, ids, restored (decoding gives the text's bytes again).
 
     Texts are encoded and their ids decoded in one pass. A null text has no ids (null), 0 characters
