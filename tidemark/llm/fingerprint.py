@@ -11,6 +11,8 @@ the chance agreements off again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,7 +24,7 @@ SHINGLE = 5
 BINS = 256
 _SHIFT = 64 - BINS.bit_length() + 1
 #: Documents that one bucket of the order by doc_id holds, about, up to MOST_BUCKETS buckets.
-BUCKET_ROWS, MOST_BUCKETS = 1000, 1 << 16
+BUCKET_ROWS, MOST_BUCKETS = 100, 1 << 16
 
 
 def _hashes(words: Column) -> Column:
@@ -100,13 +102,14 @@ def _numbers(values: list, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
 
 
-def with_next(frame: DataFrame, key: str, tie: str, carry: dict[str, str]) -> DataFrame:
+def with_next(frame: DataFrame, key: str, tie: str, carry: dict[str, str], prepare: Callable[[DataFrame], DataFrame] = lambda f: f) -> DataFrame:
     """frame with, from the next row in descending order of key (then tie), the columns carry as named there.
 
     After the last row comes the first again; null keys come last. The order is cut at quantiles of
     key (a sketch of them) into buckets, each a task's; a bucket also gets the first rows of the one
     after it. Only the quantiles and one row a bucket (MOST_BUCKETS at most) meet in one place. Rows of
-    one key, and those without one, are in one bucket.
+    one key, and those without one, are in one bucket. prepare: columns to add once the rows are dealt
+    to their buckets, so that they needn't be shuffled.
     """
     cuts = max(1, min(MOST_BUCKETS, frame.count() // BUCKET_ROWS))
     bounds = []
@@ -132,7 +135,7 @@ def with_next(frame: DataFrame, key: str, tie: str, carry: dict[str, str]) -> Da
     places = F.array(F.struct(F.col(bucket).alias("b"), F.lit(False).alias("end")), F.struct(F.col(to).alias("b"), F.lit(True).alias("end")))
     frame = frame.withColumn(place, F.explode(F.filter(places, lambda p: p["b"].isNotNull()))).withColumn(inside, F.col(f"{place}.b"))
     # what follows is long work on few bytes: as many tasks as there are partitions, not as many as their bytes ask for
-    frame = frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), inside)
+    frame = prepare(frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), inside))
     order = Window.partitionBy(inside).orderBy(F.col(f"{place}.end"), F.desc_nulls_last(key), F.desc_nulls_last(tie))
     frame = frame.withColumns({new: F.lead(old).over(order) for old, new in carry.items()})
     return frame.filter(~F.col(f"{place}.end")).drop(place, inside, bucket, to)
@@ -147,8 +150,9 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     sole document is its own next. Other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = fingerprints(rows, "text", "fingerprint")
-    rows = with_next(rows, "doc_id", "text", {"text": "next_text", "fingerprint": "next_fingerprint"})
+    rows = with_next(
+        rows, "doc_id", "text", {"text": "next_text", "fingerprint": "next_fingerprint"}, lambda f: fingerprints(f, "text", "fingerprint")
+    )
     n = F.length("text")
     m = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - m), F.substring(F.col("next_text"), F.lit(1), m))
