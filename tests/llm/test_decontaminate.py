@@ -148,3 +148,46 @@ def test_a_very_long_text(spark):
     docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(words))], "doc_id long, text string")
     (r,) = find_leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
     assert (r.doc_id, r.item_id, r.first, r.last, round(r.score * 60)) == (1, 7, 11_000, 11_030, 57)
+
+
+def test_the_join_gives_what_the_lookup_gives(spark, monkeypatch):
+    items, docs = data(spark)
+    docs += [(500, None), (501, ""), (None, items[3][1]), (502, items[4][1]), (502, items[4][1]), (503, "!!"), (504, "w7 w8 solo")]
+    benchmark = [*items, (98, None), (99, ""), (3, items[3][1]), (70, items[3][1]), (None, items[5][1]), (71, "??"), (72, "solo"), (73, "w8 solo")]
+    left = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(docs)], "doc_id long, text string, key int, gram string")
+    right = spark.createDataFrame([(*r, 1) for r in benchmark], "item_id long, text string, item int")
+    for threshold in (0.3, THRESHOLD):
+        whole, clean = (sorted(f(left, right, threshold).collect(), key=repr) for f in (find_leaks, without_leaks))
+        with monkeypatch.context() as m:
+            m.setattr(decontaminate, "MOST_BLOCKS", 0)
+            m.setattr(decontaminate, "ITEMS_A_ROW", 3)
+            assert sorted(find_leaks(left, right, threshold).collect(), key=repr) == whole
+            kept = without_leaks(left, right, threshold)
+            assert kept.columns == left.columns and sorted(kept.collect(), key=repr) == clean
+            m.setattr(decontaminate, "FILTER_WORDS", 1)  # a filter that lets nearly everything through
+            assert threshold != THRESHOLD or sorted(find_leaks(left, right, threshold).collect(), key=repr) == whole
+
+
+def test_the_join_of_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_BLOCKS", 0)
+    test_empty_tables(spark)
+    docs = spark.createDataFrame([(1, None), (2, "a b")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, None), (2, "--")], "item_id long, text string")
+    assert find_leaks(docs, items).count() == 0 and without_leaks(docs, items).count() == 2
+
+
+def test_seeds_that_many_items_and_documents_share_are_not_joined(spark, monkeypatch):
+    phrase = "which of the following statements is true about the"
+    rng = random.Random(12)
+    body = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    items = [(i, f"{phrase} {body(14)}") for i in range(40)] + [(100 + i, f"{phrase} {body(1)}") for i in range(40)]
+    docs = [(d, f"{body(30)} {phrase} {body(30)}") for d in range(60)] + [(60 + i, f"{body(9)} {items[i][1]} {body(9)}") for i in range(5)]
+    left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(find_leaks(left, right).collect())
+    assert len(whole) > 60 * 40
+    monkeypatch.setattr(decontaminate, "MOST_BLOCKS", 0)
+    monkeypatch.setattr(decontaminate, "MOST_SHARED", 8)
+    looked_up, joined = decontaminate._by_seed(left, right, THRESHOLD)
+    assert {r.item_id for r in looked_up.collect()} >= {100 + i for i in range(40)}
+    assert sorted(find_leaks(left, right).collect()) == whole
+    assert sorted(r.doc_id for r in without_leaks(left, right).collect()) == sorted({d for d, _ in docs} - {r.doc_id for r in whole})

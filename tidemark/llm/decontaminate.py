@@ -16,8 +16,12 @@ of matched words is broken by two inserted words. So at most 2 (2 n - c) / 3 pai
 no pair need be left (three words or fewer, or a low threshold) the seeds are single words, of which
 c / 2 are matched. Matches and edits are 3 n - c at most, which is the width.
 
-Words are runs of letters and digits, lower-cased in ASCII. The items are sent to executors in
-blocks of at most ``BLOCK_CHARS`` characters; each block takes a pass over the documents.
+Words are runs of letters and digits, lower-cased in ASCII. Items of ``MOST_BLOCKS`` blocks of
+``BLOCK_CHARS`` characters are looked up: each block is sent to executors, for two passes over the
+documents. More items meet the documents in a join on their rare seeds, in four passes however many
+there are: of an item's pairs the most frequent are left out, ``need`` less one, so that a copy still
+has one of the rest. A seed that many items and many documents have would join all with all; the
+items that can't do without such a seed are looked up in blocks.
 """
 
 from __future__ import annotations
@@ -26,14 +30,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, slices
+from .common import fresh, gram_hashes, slices, written
 from .hashing import PUNCTUATION, Words
 
 THRESHOLD = 0.5
 BLOCK_CHARS = 16_000_000
+#: Blocks that are looked up one by one; beyond that, the join.
+MOST_BLOCKS = 4
+#: Items, and documents, that may share a seed of the join: where both are more, its items are looked up.
+MOST_SHARED = 64
+#: 64-bit words of the join's filter at most (32 MB), and items in a row of its last step.
+FILTER_WORDS, ITEMS_A_ROW = 1 << 22, 50
 _words = Words(PUNCTUATION, fold=True)
 
 
@@ -68,6 +78,12 @@ def align(item: np.ndarray, passage: np.ndarray, stop: float = 0.0) -> tuple[int
     return best
 
 
+def _seeds(words: np.ndarray, single: bool) -> list[tuple[np.ndarray, int, int]]:
+    """The seeds that a text has, as runs (hashes, first position, step); single: whether words count too."""
+    found = [(gram_hashes(words, 2), 0, 1), (gram_hashes(words[::2], 2), 0, 2), (gram_hashes(words[1::2], 2), 1, 2)]
+    return [*found, (gram_hashes(words, 1), 0, 1)] if single else found
+
+
 class Items:
     """A block of test items with their seeds, sorted, as one lookup."""
 
@@ -119,11 +135,8 @@ class Items:
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, first index into grams) of each seed that a text has; a pair's position is its first word's."""
-        found = [(gram_hashes(words, 2), 0, 1), (gram_hashes(words[::2], 2), 0, 2), (gram_hashes(words[1::2], 2), 1, 2)]
-        if self.single.any():
-            found.append((gram_hashes(words, 1), 0, 1))
         where, index = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for grams, first, step in found if len(self.grams) else ():
+        for grams, first, step in _seeds(words, bool(self.single.any())) if len(self.grams) else ():
             at = np.searchsorted(self.grams, grams)
             at[at == len(self.grams)] = 0
             some = np.flatnonzero(self.grams[at] == grams)
@@ -198,12 +211,19 @@ def _clean(batches, items):
         yield batch.filter(pa.array([not items.value.leaks(t) for t in _texts(batch)], pa.bool_()))
 
 
+def _some(frame: DataFrame) -> DataFrame:
+    return frame.filter("text is not null and text != ''")
+
+
+def _block_count(benchmark: DataFrame) -> int:
+    return 1 + (_some(benchmark).agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS
+
+
 def _blocks(docs: DataFrame, benchmark: DataFrame, threshold: float):
     """The seeds of each block of items, broadcast."""
     spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").filter("text is not null and text != ''")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = 1 + total // BLOCK_CHARS
+    items = _some(benchmark.select("item_id", "text"))
+    n = _block_count(items)
     for k in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct().collect() if n > 1 else items.distinct().collect()
         block = Items(sorted(((r.item_id, r.text.encode()) for r in rows), key=lambda r: (r[0] is None, r)), threshold)
@@ -215,15 +235,120 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, threshold: float):
         yield spark.sparkContext.broadcast(block.rare((counts.column("gram").to_numpy(), counts.column("n").to_numpy())))
 
 
+# ---------------------------------------------------------------- the join
+
+
+def _key() -> Column:
+    return F.unhex(F.sha2("text", 256))
+
+
+def _filter(grams: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column gram: three bits in one 64-bit word for each, a word for two to four grams while FILTER_WORDS allow."""
+    words = min(FILTER_WORDS, 1 << max(6, (grams.count() // 4).bit_length()))
+    bits = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(gram, {at}) & 63L as int))" for at in (0, 6, 12))
+    rows = grams.groupBy(F.expr(f"shiftrightunsigned(gram, 20) & {words - 1}L").alias("word")).agg(F.expr(f"bit_or({bits})").alias("bits")).toArrow()
+    out = np.zeros(words, np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _passing(text: bytes, single: bool, bits: np.ndarray) -> np.ndarray:
+    """The distinct seeds of a text that the filter lets through."""
+    grams = np.concatenate([g for g, _, _ in _seeds(_words(text)[0], single)])
+    asked = np.zeros(len(grams), np.uint64)
+    for at in (0, 6, 12):
+        asked |= np.uint64(1) << (grams >> np.uint64(at) & np.uint64(63))
+    found = bits[grams >> np.uint64(20) & np.uint64(len(bits) - 1)]
+    return np.unique(grams[found & asked == asked])
+
+
+def _item_seeds(batches, threshold):
+    """(item, gram, times, need, single) for each seed of each item."""
+    for batch in slices(batches, "text"):
+        block = Items(list(zip(batch.column("item").to_pylist(), _texts(batch), strict=True)), threshold)
+        ids = np.array(block.ids, np.int64)
+        own = [ids[block.items], block.grams.view(np.int64), block.times, block.need[block.items], block.single[block.items]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in own], ["item", "gram", "times", "need", "single"])
+
+
+def _seed_counts(batches, bits, single):
+    """(gram, documents that hold it) for each slice of texts."""
+    for batch in slices(batches, "text"):
+        grams, n = np.unique(np.concatenate([np.empty(0, np.uint64), *(_passing(t, single, bits.value) for t in _texts(batch))]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+
+def _present(batches, bits, single):
+    """(key, gram) for each text and each of its seeds."""
+    for batch in slices(batches, "text"):
+        found = [_passing(t, single, bits.value) for t in _texts(batch)]
+        keys = batch.column("key").take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
+        yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["key", "gram"])
+
+
+def _aligned(batches, threshold):
+    """(key, item, score, first, last) for each text and each of its row's items that it leaks."""
+    for batch in slices(batches, "text"):
+        keys, own, rows = batch.column("key").to_pylist(), batch.column("own"), []
+        for at, text in enumerate(_texts(batch)):
+            block = Items([(x["item"], x["item_text"].encode()) for x in own[at].as_py()], threshold)
+            rows += [(keys[at], *x) for x in block.leaks(text)]
+        kinds = (pa.binary(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["key", "item", "score", "first", "last"])
+
+
+def _by_seed(docs: DataFrame, benchmark: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(the items to be looked up, what distinct texts leak of the others: key, item_id, score, first, last).
+
+    Equal items and equal texts are joined and aligned once. A pair of text and item comes from a seed that
+    at most MOST_SHARED items or at most so many documents have, so pairs are linear in both tables.
+    """
+    spark = docs.sparkSession
+    ship = spark.sparkContext.broadcast
+    asked = _some(benchmark.select(F.col("item_id").cast("long"), "text")).distinct()
+    items = written(asked.select("text").distinct().select(F.monotonically_increasing_id().alias("item"), "text"), "items")
+    seeds = items.mapInArrow(lambda it: _item_seeds(it, threshold), "item long, gram long, times long, need long, single boolean")
+    seeds = written(seeds, "seeds")
+    single = bool(seeds.agg(F.max("single")).first()[0])
+    texts = _some(docs.select("text")).select(_key().alias("key"), "text")
+
+    bits = ship(_filter(seeds.select("gram").distinct()))
+    often = texts.select("text").mapInArrow(lambda it: _seed_counts(it, bits, single), "gram long, n long")
+    often = often.groupBy("gram").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("item").orderBy(F.desc("n"), "gram").rowsBetween(Window.unboundedPreceding, 0)
+    rare = seeds.join(often, "gram").withColumn("lost", F.sum("times").over(order)).filter("lost >= need").select("gram", "item", "n")
+    rare = written(rare, "rare")
+    crowded = rare.groupBy("gram").agg(F.count("*").alias("m"), F.max("n").alias("n")).filter((F.col("m") > MOST_SHARED) & (F.col("n") > MOST_SHARED))
+    looked_up = written(rare.join(crowded.select("gram"), "gram", "left_semi").select("item").distinct(), "crowded")
+    rare = rare.join(looked_up, "item", "left_anti").select("gram", "item")
+
+    kept = ship(_filter(rare.select("gram").distinct()))
+    present = texts.mapInArrow(lambda it: _present(it, kept, single), "key binary, gram long").distinct()
+    pairs = written(present.join(rare, "gram").select("key", "item").distinct(), "pairs")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("item"))
+    rows = pairs.withColumn("part", F.floor((place - 1) / ITEMS_A_ROW)).join(items.withColumnRenamed("text", "item_text"), "item")
+    rows = rows.groupBy("key", "part").agg(F.collect_list(F.struct("item", "item_text")).alias("own"))
+    wanted = texts.join(pairs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    leaks = wanted.join(rows, "key").select("key", "text", "own")
+    leaks = leaks.mapInArrow(lambda it: _aligned(it, threshold), "key binary, item long, score double, first long, last long")
+    names = asked.join(items, "text")
+    leaks = written(leaks.join(names.select("item", "item_id"), "item").drop("item"), "leaks")
+    return names.join(looked_up, "item", "left_semi").select("item_id", "text"), leaks
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """For each document and each item that it leaks: doc_id, item_id, score (0 to 1), first, last (words, last exclusive).
 
     docs has doc_id, text; benchmark item_id, text; other columns are ignored. Null and empty texts
     leak nothing, null and empty items are leaked by nothing. Repeated rows are reported as often as
-    they are there. An empty table on either side gives no rows.
+    they are there. An empty table on either side gives no rows. Lookup and join give the same rows.
     """
     schema = "doc_id long, item_id long, score double, first long, last long"
     out = None
+    if _block_count(benchmark) > MOST_BLOCKS:
+        benchmark, found = _by_seed(docs, benchmark, threshold)
+        out = docs.select(F.col("doc_id").cast("long"), _key().alias("key")).join(found, "key")
+        out = out.select("doc_id", "item_id", "score", "first", "last")
     for seeds in _blocks(docs, benchmark, threshold):
         part = docs.select("doc_id", "text").mapInArrow(lambda it, s=seeds: _leaks(it, s), schema)
         out = part if out is None else out.union(part)
@@ -233,6 +358,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that leak an item; columns as given."""
     out = docs
+    if _block_count(benchmark) > MOST_BLOCKS:
+        benchmark, found = _by_seed(docs, benchmark, threshold)
+        (key,) = fresh(docs, "key")
+        out = docs.withColumn(key, _key()).join(found.select(F.col("key").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
     for seeds in _blocks(docs, benchmark, threshold):
         out = out.mapInArrow(lambda it, s=seeds: _clean(it, s), docs.schema)
     return out
